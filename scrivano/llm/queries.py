@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scrivano.llm import canonical, fusion, variants
+from scrivano.llm import canonical, fusion, leakage, mixing, repetition, scans, segment, variants
 from scrivano.session import table
 
 
@@ -29,8 +29,54 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scanned_items(table(spark, d, "diagram_procedures"), table(spark, d, "prompt_blocks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(_scans(spark, d))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_scans(spark, d).dropDuplicates(["src", "item_key"]))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return segment.procedure_items(table(spark, d, "diagram_procedures"), table(spark, d, "procedure_records"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return segment.split_oversized(_items(spark, d)).select("src", "item_key", "cut").distinct()
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    items = segment.oversized(_items(spark, d)).dropDuplicates(["src", "item_key"])
+    return segment.split_oversized(items)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    m = repetition.repetition(table(spark, d, "documents"))
+    return m.where(F.col("candidate") & (F.col("share") >= repetition.SHARE)).select("doc_id").distinct()
+
+
+def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p7_mix, p7_report, p8_found, p8_repetition)}
 
 
 def oracle_sql() -> dict:
