@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from scrivano.llm import names as N
 from scrivano.session import cut, maybe_broadcast
 
-THRESHOLD, ACCEPT, MARGIN = 0.25, 0.40, 0.04
+THRESHOLD, ACCEPT, MARGIN = 0.40, 0.40, 0.04
 
 
 def grams(n: N.Name) -> list[str]:
@@ -47,11 +47,18 @@ def _entry(name: str) -> tuple[N.Name, frozenset[str], str]:
     return n, frozenset(grams(n)), "".join(t[0] for t in n.tokens)
 
 
-def _judge(form: pd.Series, feats: pd.Series, cands: pd.Series) -> pd.DataFrame:
+@lru_cache(maxsize=100_000)
+def _unpack(c: str) -> tuple[int, float, str, str]:
+    i, norm, acronym, name = c.split("\x1f", 3)
+    return int(i), float(norm), acronym, name
+
+
+def _judge(form: pd.Series, feats: pd.Series, weights: pd.Series, cands: pd.Series) -> pd.DataFrame:
     out = []
-    for f, ws, cs in zip(form, feats, cands):
+    for f, gs, ws, packed in zip(form, feats, weights, cands):
         n = N.unform(f)
-        w = {x["g"]: x["w"] for x in ws}
+        w = dict(zip(gs, ws))
+        cs = [dict(zip(("id", "norm", "acronym", "name"), _unpack(c))) for c in packed]
         norm = sum(v * v for v in w.values()) ** 0.5 or 1.0
         acr = n.acronym or (n.tokens[-1] if len(n.tokens) <= 2 and n.tokens and len(n.tokens[-1]) <= 8 else "")
         named = sum(c["acronym"] == acr for c in cs) if acr else 0
@@ -116,11 +123,11 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
         .distinct()
         .join(maybe_broadcast(norms), "id")
         .groupBy("form")
-        .agg(F.collect_list(F.struct("id", "name", "acronym", "norm")).alias("cands"))
+        .agg(F.collect_list(F.concat_ws("\x1f", F.col("id").cast("string"), F.col("norm").cast("string"), F.coalesce("acronym", F.lit("")), "name")).alias("cands"))
     )
     judged = (
-        cands.join(weighted.select("form", F.transform("fs", lambda x: F.struct(x.g.alias("g"), x.w.alias("w"))).alias("fs")), "form")
-        .withColumn("v", F.pandas_udf(_judge, "id long, score double, rivals int")("form", "fs", "cands"))
+        cands.join(weighted.select("form", F.transform("fs", lambda x: x.g).alias("gs"), F.transform("fs", lambda x: x.w).alias("ws")), "form")
+        .withColumn("v", F.pandas_udf(_judge, "id long, score double, rivals int")("form", "gs", "ws", "cands"))
         .select("form", "v.*")
     )
     literal = entries.select(F.col("name").alias("value"), F.col("id").alias("lit"))
