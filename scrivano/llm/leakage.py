@@ -75,7 +75,7 @@ def align(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, rate: float =
                 while i < n and 0 <= i + d < m and it[i] == dt[i + d]:
                     i += 1
                 ext[d] = i
-            span = max(ext.values()) - i0
+            span = max((i for d, i in ext.items() if i > reach[d]), default=i0) - i0  # the last word is in place
             if span >= least and e <= rate * span:
                 return True
             if span < min(3 * e, 8):  # no better than chance so far
