@@ -48,9 +48,9 @@ HYPHENS = "-‐‑­¬"
 PAGE = re.compile(r"(?i)^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|p(?:ag|agina|g)?\.?\s*\d{1,4}(?:\s*(?:di|/|su)\s*\d{1,4})?\.?|\d{1,4}\s*/\s*\d{1,4}|\d{1,4}\s+di\s+\d{1,4}|(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*$")
 BARE = re.compile(r"^\s*\d{1,3}\s*$")
 HEADER = re.compile(r"(?i)^\s*(?:(?:pag(?:ina)?\.?\s*)?[\d\[\]()]{1,6}\s*[-–—|]?\s+)?\D*[^\W\d_][^.;:]*\s[–—-]\s[^.;:]*\bn\.\s*\d{1,4}(?:\s*[-–—|]?\s*(?:pag(?:ina)?\.?\s*)?[\d\[\]()]{1,6})?\s*$")
-TOKEN = re.compile(r"(?:[^\W_]|\\/(?=[^\W\d_]))(?:[^\W_]|[@|!$€](?=[^\W\d_])|(?<=[^\W\d_])[@$€]|\\/)*|@[^\W_]*")
+TOKEN = re.compile(r"(?:[^\W_]+|\\/(?=[^\W\d_]))(?:(?:[@|!$€](?=[^\W\d_])|(?<=[^\W\d_])[@$€]|\\/)[^\W_]*)*|@[^\W_]*")
 CODE = re.compile(r"^(?:[A-Z]{1,4}\d+[A-Z]?|\d+|\d+[°ªº]|[IVXLC]+)$")
-COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+-[^\W\d_]+")
 LIST_ITEM = re.compile(r"^\s*(?:[-–—•*·▪]|\d{1,3}[.)]|[A-Za-z]\))\s")
 TITLE = re.compile(r"^\s*(?:(?:Art\.?\s*)?\d+(?:\.\d+)*\s+[A-ZÀ-Ý]|[A-ZÀ-Ý][A-ZÀ-Ý\s'’]+$)")
 
@@ -64,14 +64,16 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words, compounds ("a-b") and, as "word #", words that a number follows."""
     for b in batches:
         c: Counter = Counter()
+        called: Counter = Counter()
         for t in b["text"]:
-            for line in t.split("\n"):
-                toks = [w.casefold() for w in TOKEN.findall(line)]
-                c.update(w for w in toks if not w.isdigit())
-                c.update(x + " #" for x, y in zip(toks, toks[1:]) if y.isdigit() and not x.isdigit())
-            if "-" in t:
-                c.update(w.casefold() for w in COMPOUND.findall(t))
-        yield pd.DataFrame({"word": list(c.keys()), "n": np.fromiter(c.values(), np.int64, len(c))})
+            low = t.casefold()
+            toks = TOKEN.findall(low)
+            c.update(toks)
+            called.update([toks[i - 1] for i, w in enumerate(toks) if w.isdigit() and i])
+            if "-" in low:
+                c.update(COMPOUND.findall(low))
+        words = {w: n for w, n in c.items() if not w.isdigit()} | {w + " #": n for w, n in called.items() if not w.isdigit()}
+        yield pd.DataFrame({"word": list(words), "n": np.fromiter(words.values(), np.int64, len(words))})
 
 
 def _pairs(index: dict[str, int]):
@@ -101,6 +103,7 @@ class Model:
     def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], total: int):
         self.counts, self.vectors, self.total = counts, vectors, total
         self.memo: dict[str, list[tuple[str, int]]] = {}
+        self.good: set[str] = set()
 
     def variants(self, w: str) -> list[tuple[str, int]]:
         """Frequent words one or two glyph edits from ``w``, with the position of the first edit."""
@@ -125,6 +128,30 @@ class Model:
             self.memo[w] = out
         return out
 
+    def stands(self, w: str) -> bool:
+        """No context can make ``w`` (as written) a misread word."""
+        x = w.casefold()
+        if CODE.match(w):
+            return w != "1"
+        if any(c in ODD or c in LIGATURES for c in w):
+            return False
+        own = self.counts.get(x, 0)
+        return own * 50 >= self.counts.get("di", 0) + 50 or all(self.counts[v] < RATIO * max(own, 1) for v, _ in self.variants(x))
+
+    def clean(self, words: list[str]) -> bool:
+        """All words stand; what was found out is kept."""
+        if self.good.issuperset(words):
+            return True
+        ok = True
+        for w in words:
+            if w not in self.good:
+                if self.stands(w):
+                    if len(self.good) < 500_000:
+                        self.good.add(w)
+                else:
+                    ok = False
+        return ok
+
     def correct(self, w: str, context: list[str]) -> tuple[str, int] | None:
         """The frequent word that ``w`` misreads, in its context, and the position of the edit; None if it stands."""
         own = self.counts.get(w, 0)
@@ -201,9 +228,9 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
     joins: dict[int, bool] = {}
     last = ""
     for i, line in enumerate(lines):
-        if HEADER.match(line):
+        if ("–" in line or "—" in line or " - " in line) and HEADER.match(line):
             noise[i].add("header")
-        elif _is_page(line, last, m):
+        elif len(line) <= 32 and _is_page(line, last, m):
             noise[i].add("page")
         elif line.strip():
             last = line
@@ -211,10 +238,12 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
     skip_first = False
     for k, i in enumerate(body):
         line = lines[i]
+        bare = line.rstrip()
+        tail = len(bare) > 1 and bare[-1] in HYPHENS and (bare[-2].isalnum() or bare[-2] in "@$€")
+        if not tail and not skip_first and "' " not in line and bare[-1] != "'" and m.clean(TOKEN.findall(line)):
+            continue
         toks = [(x.start(), x.end(), x[0]) for x in TOKEN.finditer(line)]
         nxt = body[k + 1] if k + 1 < len(body) else None
-        bare = line.rstrip()
-        tail = bool(bare) and bare[-1] in HYPHENS and len(bare) > 1 and (bare[-2].isalnum() or bare[-2] in "@$€")
         start, skip_first = (1 if skip_first else 0), False
         stop = len(toks)
         if tail and toks and nxt is not None:
@@ -240,8 +269,11 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
                             elif hit:
                                 fixes.setdefault(nxt, []).append((right.start(), right.end(), v[len(l) :]))
         low = [w.casefold() for _, _, w in toks]
+        m.clean([w for _, _, w in toks[start:stop]])
         for j in range(start, stop):
             s, e, w = toks[j]
+            if w in m.good and line[e : e + 1] != "'":
+                continue
             if CODE.match(w):
                 if w == "1" and line[e : e + 1] in "'’" and line[e + 1 : e + 2].isalpha():
                     noise[i].add("ocr")
