@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivano.functions import lexicon as L
 from scrivano.functions import scores as S
 from scrivano.functions import text as T
-from scrivano.operators import chunks, definitions, evaluation, graph, lines, outline, retrieval, store
+from scrivano.operators import chunks, context, definitions, evaluation, graph, lines, outline, retrieval, store
 from scrivano.plans import pipeline
 from scrivano.session import table
 
@@ -642,6 +642,61 @@ def system_pairs(spark, d):
     return evaluation.pair_systems(r)
 
 
+@query("""WITH t AS (SELECT DISTINCT doc_id, def_id, regexp_replace(term, '^\\s+|\\s+$', '', 'g') AS t, regexp_replace(definition, '^\\s+|\\s+$', '', 'g') AS d FROM definitions_raw),
+v AS (SELECT doc_id, def_id, lower(t) AS alias, CASE WHEN regexp_matches(t, '^[A-Z0-9]{2,12}$') AND length(d) >= 8 THEN t || ' (' || regexp_replace(left(d, 80), '\\.+$', '') || ')'
+ WHEN lower(t) IN ('operatore', 'richiedente', 'utente', 'cittadino') THEN regexp_replace(regexp_replace(left(d, 80), '\\.+$', ''), '^\\s+|\\s+$', '', 'g') END AS canonical FROM t WHERE t <> '' AND d <> '')
+SELECT doc_id, alias, max_by(canonical, def_id) AS canonical FROM v WHERE canonical IS NOT NULL GROUP BY ALL""".replace("\\\\", "\\"))
+def acronym_map(spark, d):
+    return definitions.acronym_map(_defs(spark, d))
+
+
+_LIST = "CASE WHEN len(list_filter(coalesce({0}, []), lambda x: x IS NOT NULL)) > 0 THEN array_to_string(list_transform(list_filter({0}, lambda x: x IS NOT NULL)[1:{1}], lambda x: '- ' || x), chr(10)) ELSE '-' END"
+
+
+@query(f"""SELECT DISTINCT procedure_id, 'DOC_ID: ' || coalesce(nullif(doc_id, ''), '-') || chr(10) || 'SECTION_TITLE: ' || coalesce(nullif(section_title, ''), '-') || chr(10) || 'PATH: ' || coalesce(nullif(section_path, ''), '-') || chr(10) || 'STEPS:' || chr(10) || {_LIST.format('steps', 20)} || chr(10) || 'NOTES:' || chr(10) || {_LIST.format('notes', 10)} AS summary FROM procedure_records""")
+def procedure_summaries(spark, d):
+    r = table(spark, d, "procedure_records")
+    return r.select("procedure_id", context.procedure_summary(*map(F.col, ("doc_id", "section_title", "section_path", "steps", "notes"))).alias("summary")).distinct()
+
+
+@query()
+def agent_support(spark, d):
+    """Definition blocks for the agents that the recorded procedures' texts name."""
+    p = table(spark, d, "diagram_procedures").where("original_text_full is not null").dropDuplicates(["procedure_id"])
+    defs = chunks.definition_chunks(_defs(spark, d)).select("doc_id", "id", "term", "text")
+    return context.definition_support(p.select("doc_id", F.col("procedure_id").alias("section_id"), F.col("original_text_full").alias("text")), definitions.allowed_agents(_defs(spark, d)), defs)
+
+
+@query()
+def context_blocks(spark, d):
+    """Context of every procedure: its agents' definitions, then its document's passages."""
+    p = table(spark, d, "diagram_procedures").where("original_text_full is not null").dropDuplicates(["procedure_id"]).select("doc_id", F.col("procedure_id").alias("section_id"), F.col("original_text_full").alias("text"))
+    defs = chunks.definition_chunks(_defs(spark, d)).select("doc_id", "id", "term", "text")
+    blocks = context.definition_support(p, definitions.allowed_agents(_defs(spark, d)), defs).select("section_id", F.col("place").alias("pos"), "id", "text")
+    hits = p.select("doc_id", "section_id").join(_defs(spark, d).where("definition is not null and term is not null").drop("section_id"), "doc_id").select("section_id", F.col("def_id").alias("pos"), F.col("def_id").cast("string").alias("id"), "term", F.col("definition").alias("text"))
+    passages = p.select("doc_id", F.col("section_id").alias("sec")).join(chunks.passages(_lines(spark, d)), "doc_id").select(F.col("sec").alias("section_id"), F.col("chunk_id").alias("pos"), "id", "text")
+    return context.assemble(blocks, hits, passages)
+
+
+@query()
+def canonical_predictions(spark, d):
+    """Typed agents of the prompts brought to the registry's names by exact alias or TF-IDF."""
+    r = table(spark, d, "agent_registry")
+    al = r.select(F.col("agent_id").alias("group_id"), F.explode(F.array("canonical_agent", "acronym")).alias("a")).where("a is not null").select("group_id", T.normalize_agent(F.col("a")).alias("alias")).distinct()
+    a = table(spark, d, "prompt_blocks").select(F.col("doc_id").alias("key"), F.explode("allowed_agents").alias("agent")).where("agent is not null")
+    return evaluation.canonicalize_agents(a, al)
+
+
+@query()
+def step_scores(spark, d):
+    """Recorded steps as gold against the list items of the procedure's own text."""
+    g = _steps(spark, d).select(F.col("procedure_id").alias("key"), F.col("step_idx").alias("idx"), F.col("description_synthetic").alias("text"), "agent")
+    t = table(spark, d, "diagram_procedures").where("original_text_full is not null").dropDuplicates(["procedure_id"])
+    p = t.select(F.col("procedure_id").alias("key"), F.posexplode(F.split("original_text_full", "\n")).alias("idx", "l")).where(S.bullet(F.col("l"))).select("key", "idx", F.regexp_replace("l", S.BULLET, "").alias("text"), F.lit(L.DEFAULT_AGENT).alias("agent"))
+    m = evaluation.step_match(g, p, "key", 0.6)
+    return m.select("key", "golds", "preds", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "agent_accuracy")])
+
+
 # ---- store and pipelines -------------------------------------------------------------------------------------------
 
 

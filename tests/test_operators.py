@@ -163,3 +163,34 @@ def test_pipeline(spark, variant):
     stats = {r.doc_id: r for r in out["stats"].collect()}
     assert set(stats) == {"0", "1"} and stats["0"].n_titles >= 1 and stats["1"].n_sections == 1
     assert out["steps"].count() >= 2
+
+
+def test_stream(spark, tmp_path):
+    from scrivano.streaming import ingest
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs(spark, DOC).select(F.col("doc_id").cast("string"), "text").write.parquet(src)
+    for k in range(2):  # the second run is a replay
+        ingest.start(ingest.watch(spark, src), out, str(tmp_path / f"c{k}")).awaitTermination(60)
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_context(spark):
+    from scrivano.operators import context
+
+    s = spark.createDataFrame([("1", "s", "Il SUAP verifica; il Comune paga")], "doc_id string, section_id string, text string")
+    a = spark.createDataFrame([("1", 1, "Comune"), ("1", 2, "suap"), ("1", 3, "Regione")], "doc_id string, pos int, agent string")
+    assert [r.agent for r in context.mentioned(a, s).orderBy("pos").collect()] == ["Comune", "suap"]
+    d = spark.createDataFrame([("1", "d1", "SUAP", "SUAP: sportello unico"), ("1", "d2", "Altro", "Altro: diverso")], "doc_id string, id string, term string, text string")
+    b = context.definition_support(s, a, d)
+    assert b.where("agent = 'suap' and place = 1").first().id == "d1"
+    blocks = b.select("section_id", F.col("place").alias("pos"), "id", "text")
+    p = spark.createDataFrame([("s", i, f"p{i}", "x" * 2000) for i in range(20)] + [("t", 0, "q", "y")], "section_id string, pos int, id string, text string")
+    out = context.assemble(blocks, blocks.limit(0).withColumn("term", F.lit("")), p)
+    assert out.where("section_id = 's'").count() == 12 and out.agg(F.max(F.length("text"))).first()[0] == 900
+
+
+def test_agents_to_gold(spark):
+    al = spark.createDataFrame([(1, "suap"), (1, "sportello unico attivita produttive"), (2, "richiedente")], "group_id int, alias string")
+    p = spark.createDataFrame([("k", "S.U.A.P."), ("k", "sportello unico attivita produttiva"), ("k", "altro")], "key string, agent string")
+    assert {r.agent: r.canonical for r in evaluation.canonicalize_agents(p, al).collect()} == {"suap": "suap", "sportello unico attivita produttiva": "suap", "altro": "altro"}
