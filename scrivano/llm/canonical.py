@@ -41,13 +41,13 @@ def _features(name: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["form", "grams"])
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def _entry(name: str) -> tuple[N.Name, frozenset[str], str]:
     n = N.parse(name)
     return n, frozenset(grams(n)), "".join(t[0] for t in n.tokens)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def _unpack(c: str) -> tuple[int, float, str, str]:
     i, norm, acronym, name = c.split("\x1f", 3)
     return int(i), float(norm), acronym, name

@@ -15,7 +15,7 @@ LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-­¬‐‑–][^\S\n]*(?:\r?\n[^\S\n]*
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=150_000)
 def word_hash(w: str) -> int:
     return xxhash.xxh64_intdigest(w)
 
