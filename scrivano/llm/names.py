@@ -28,6 +28,7 @@ FILLERS = frozenset(
     "tutti gli interessati|interessati|ente|x|xx|xxx|s n|come da allegato|personale incaricato|personale preposto|idem|id|c s|cs|eventuali|eventuali altri|altri soggetti|soggetti|chiunque|chi di competenza|"
     "competente|ufficio competente|uffici competenti|test|prova|boh|omissis|vedi|v sopra|v s|soggetto competente|soggetti interessati|da nominare|da designare|tbd|todo|etc|ecc".split("|")
 )
+LONG = 30  # letters from which a word is not cut into remainders
 # -------------------------------------------------------------------------------------------------------------------
 
 _REF = re.compile(r"(?i)\(\s*(?:art|artt|all|cfr|vd|vedi|v|n|pag|comma|co|c)\b[^)]*\)|\([^)]*\d[^)]*\)|\[[^\]]*\]")
@@ -277,8 +278,9 @@ def _tokenwise(a: Name, b: Name, ja: str, jb: str, freq) -> Verdict:
 
 
 def keys(n: Name) -> list[tuple[str, str]]:
-    """(space, key) rows of a name for candidate search: ``full`` spellings are compared by edit distance,
-    ``init`` (initials) and ``word`` (long words) by equality."""
+    """(space, key) rows of a name for candidate search: ``full`` spellings are compared by edit distance, ``init``
+    and ``sort`` (initials as they stand and sorted) and ``any`` (words of two letters or more) by equality; ``word``
+    rows (long words) are counted only.  With ``slips`` they reach every pair that ``compare`` accepts."""
     out: list[tuple[str, str]] = []
     if n.filler:
         return out
@@ -289,16 +291,35 @@ def keys(n: Name) -> list[tuple[str, str]]:
     if len(t) == 1 and 3 <= len(t[0]) <= 6:
         out.append(("init", t[0]))
     if len(t) >= 2:
-        out.append(("full", "".join(t[1:] + t[:1]).replace(".", "")))
         out.append(("init", "".join(x[0] for x in t)))
-        if len(t) == 2 and 3 <= len(t[1]) <= 6 and t[1][0] == t[0][0]:
+        out.append(("sort", "".join(sorted(x[0] for x in t))))
+        if len(t) == 2 and len(t[1]) >= 3 and t[1][0] == t[0][0]:
             out.append(("init", t[1]))
     for x, dot in zip(t, n.abbr):
+        if len(x) > 1:
+            out.append(("any", x))
         if len(x) >= 5 and not dot:
             out.append(("word", x))
     return list(dict.fromkeys(out))
 
 
+def slips(n: Name) -> list[tuple[int, str]]:
+    """(number of words, word) for the words a slip may have changed.  Names without an equal word are the same only
+    with as many words, or as honorific and surname beside a name of two."""
+    groups = (1, 2) if n.honorific and len(n.tokens) == 1 else (len(n.tokens),)
+    return [(g, x) for g in groups for x in dict.fromkeys(t for t, dot in zip(n.tokens, n.abbr) if len(t) >= 4 and not dot)]
+
+
+def remainders(word: str) -> list[str]:
+    """What up to two deletions leave of a word; words within two edits (``osa``) share one.  Words of more than
+    ``LONG`` letters all share one key, also with the words two letters shorter."""
+    if len(word) > LONG:
+        return ["*"]
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    out = {word} | one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
+    return sorted(out | {"*"} if len(word) > LONG - 2 else out)
+
+
 def form(n: Name) -> str:
     """A name as one string: names that differ in case, blanks or decoration only share it."""
     if n.filler:

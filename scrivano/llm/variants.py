@@ -4,10 +4,12 @@ Every distinct normalised name ("form") of a document contributes points to a me
 Levenshtein distance.  Documents with more than ``cell`` points get about sqrt(n) pivots; a point goes to the cell of
 its nearest pivot and, by the triangle inequality, to every cell whose pivot is within the least distance plus twice
 the radius.  Inside a cell a self-join keeps the pairs within the radius, so no pair within the radius is lost and no
-document is gathered in one task.  Shortened spellings lie far apart in that space; they meet in two further key
-spaces at radius zero (initials, the two rarest words).  Pairs found are verified word by word (``names.compare``);
-certain links form entities, uncertain ones (initials, acronyms, pet names, dropped words) are kept where one entity
-only fits best.
+document is gathered in one task.  That space holds the spellings run together or split.  All others share an exact
+key, any one of their words or their initials, or hold two words within the two slips ``names.typo`` allows: those
+words are compared pair by pair in a document of at most ``cell`` forms and meet by equal remainders after up to two
+deletions in a larger one.  So every pair that ``names.compare`` accepts is a candidate.  Pairs found are verified word
+by word; certain links form entities, uncertain ones (initials, acronyms, pet names, dropped words) are kept where one
+entity only fits best.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from scrivano.llm.components import components
 from scrivano.session import cut
 
 RADIUS, CELL, SALTS = 4, 64, 16
-POINTS = "form string, pts array<string>, words array<string>"
+POINTS = "form string, pts array<string>, words array<string>, slips array<struct<g:int,w:string>>"
 COMPARED = "same int, cost double, low boolean"
 
 
@@ -30,8 +32,12 @@ def _points(name: pd.Series) -> pd.DataFrame:
     for s in name:
         n = N.parse(s)
         k = N.keys(n)
-        out.append((N.form(n), [f"{a}:{b}" for a, b in k if a != "word"], [b for a, b in k if a == "word"]))
-    return pd.DataFrame(out, columns=["form", "pts", "words"])
+        out.append((N.form(n), [f"{a}:{b}" for a, b in k if a != "word"], [b for a, b in k if a == "word"], N.slips(n)))
+    return pd.DataFrame(out, columns=["form", "pts", "words", "slips"])
+
+
+def _remainders(word: pd.Series) -> pd.Series:
+    return word.map(N.remainders)
 
 
 def _compare(a: pd.Series, b: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.DataFrame:
@@ -81,6 +87,30 @@ def metric_pairs(points: DataFrame, radius: int = RADIUS, cell: int = CELL) -> D
     return a.join(b, ["doc_id", "cell"]).where(near).select("doc_id", "a", "b").distinct()
 
 
+def candidates(forms: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """All pairs of ``forms(doc_id, form, pts, slips)`` of one document that ``names.compare`` could accept.
+
+    Returns distinct ``(doc_id, a, b)`` with a < b.
+    """
+    pts = forms.select("doc_id", "form", F.explode("pts").alias("p"))
+    full = pts.where(F.col("p").startswith("full:")).select("doc_id", "form", F.substring("p", 6, 4000).alias("key"))
+    size = forms.groupBy("doc_id").agg(F.count("*").alias("n"))
+    slips = forms.select("doc_id", "form", F.explode("slips").alias("x")).select("doc_id", "form", "x.*").join(size, "doc_id")
+    left = slips.where(F.col("n") > cell).withColumn("r", F.explode(F.pandas_udf(_remainders, "array<string>")("w")))
+    exact = pts.where(~F.col("p").startswith("full:")).select("doc_id", "form", F.col("p").alias("key")).unionByName(
+        left.select("doc_id", "form", F.concat_ws(":", F.lit("slip"), "g", "r").alias("key")).distinct()
+    )
+    ea, eb = exact.withColumnRenamed("form", "a"), exact.withColumnRenamed("form", "b")
+    same_key = ea.join(eb, ["doc_id", "key"]).where("a < b").select("doc_id", "a", "b")
+    small = slips.where(F.col("n") <= cell)
+    sa = small.select("doc_id", "g", F.col("form").alias("a"), F.col("w").alias("wa"))
+    sb = small.select("doc_id", "g", F.col("form").alias("b"), F.col("w").alias("wb"))
+    # within two edits neither word has more than two letters that the other lacks
+    near = "a < b and wa <> wb and abs(length(wa) - length(wb)) <= 2 and length(translate(wa, wb, '')) <= 2 and length(translate(wb, wa, '')) <= 2"
+    slipped = sa.join(sb, ["doc_id", "g"]).where(near).where(F.levenshtein("wa", "wb", 4) >= 0).select("doc_id", "a", "b")
+    return metric_pairs(full, radius, cell).unionByName(same_key).unionByName(slipped).distinct()
+
+
 def link_names(rows: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """Entities of names within documents.
 
@@ -90,19 +120,12 @@ def link_names(rows: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataF
     """
     named = rows.where(F.col("doc_id").isNotNull() & F.col("name").rlike(r"(?U)\S")).select("doc_id", "name").distinct()
     named = cut(named.withColumn("x", F.pandas_udf(_points, POINTS)("name")).select("doc_id", "name", "x.*"))
-    forms = named.where("form <> ''").select("doc_id", "form", "pts", "words").dropDuplicates(["doc_id", "form"])
+    forms = named.where("form <> ''").select("doc_id", "form", "pts", "words", "slips").dropDuplicates(["doc_id", "form"])
     words = forms.select("doc_id", "form", F.explode(F.array_distinct("words")).alias("w"))
     freq = words.groupBy("w").agg(F.count_distinct("doc_id").alias("df"))
     known = words.join(freq, "w").groupBy("doc_id", "form").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
     forms = cut(forms.drop("words").join(known, ["doc_id", "form"], "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<struct<df:bigint,w:string>>"))))
-    pts = forms.select("doc_id", "form", F.explode("pts").alias("p"))
-    full = pts.where(F.col("p").startswith("full:")).select("doc_id", "form", F.substring("p", 6, 4000).alias("key"))
-    exact = pts.where(F.col("p").startswith("init:")).select("doc_id", "form", F.col("p").alias("key")).unionByName(
-        forms.select("doc_id", "form", F.explode(F.slice("ws", 1, 2)).alias("x")).select("doc_id", "form", F.concat(F.lit("w:"), "x.w").alias("key"))
-    )
-    ea, eb = exact.withColumnRenamed("form", "a"), exact.withColumnRenamed("form", "b")
-    same_key = ea.join(eb, ["doc_id", "key"]).where("a < b").select("doc_id", "a", "b")
-    pairs = metric_pairs(full, radius, cell).unionByName(same_key).distinct()
+    pairs = candidates(forms, radius, cell)
     flat = F.flatten(F.transform("ws", lambda x: F.array(x.w, x.df.cast("string"))))
     side = forms.select("doc_id", "form", flat.alias("f"))
     judged = (

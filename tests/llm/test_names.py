@@ -74,6 +74,32 @@ def test_link_names(spark):
     assert variants.link_names(df.limit(0)).count() == 0
 
 
+def test_candidates_reach_every_accepted_pair(spark):
+    rows = ["Consorzio Irriguo Oltrabindro di Versoglia", "Consorzio Irrgiuo Olrabindro", "Circolo Apestico Lerveezzo", "Circolo Lervezzo", "T. Orvisimbri", "Orviisimbri Tolomeo", "dott. Gazzarmbri", "Gazzambri Eustachio", "l. s. Oltradevra", "Lateria Sociale Oltradevra Quarponte", "Settore Tutela Acque Minori", "S.T.A.M.", "Min. Acq. Tut.", "Tutela Acque Minori", "SetoreTutela Acque Minori", "Via Po Est", "Est Po Via", "x" * 31 + " aba", "aba " + "x" * 29]
+    rnd = random.Random(3)
+    long = "abcdefghilmnopqrstuvzabcdefghilm"
+    for base in ("Latteria Sociale Crodessa Urbbilla", "Eustachio Quellietti", f"Ente {long}"):
+        for _ in range(12):
+            ws = [w if rnd.random() < 0.4 else w[:k] + w[k + 1] + w[k] + w[k + 2 :] if rnd.random() < 0.5 else w[:k] + w[k + 1 :] for w in base.split() for k in [rnd.randrange(len(w) - 1)]]
+            rnd.shuffle(ws)
+            rows.append(" ".join(ws[: rnd.choice([2, 3, 4])]))
+    parsed = {names.form(n): n for n in map(names.parse, rows)}
+    forms = [("d", f, [f"{a}:{b}" for a, b in names.keys(n) if a != "word"], names.slips(n)) for f, n in parsed.items()]
+    df = spark.createDataFrame(forms, "doc_id string, form string, pts array<string>, slips array<struct<g:int,w:string>>")
+    accepted = {("d", a, b) for a in parsed for b in parsed if a < b and names.compare(parsed[a], parsed[b]).same}
+    assert ("d", "circolo apestico lerveezzo", "circolo lervezzo") in accepted and len(accepted) > 50
+    for cell in (10_000, 5):
+        assert accepted <= {tuple(r) for r in variants.candidates(df, cell=cell).collect()}
+
+
+def test_link_names_dropped_word_with_slips(spark):
+    rows = ["Consorzio Irriguo Oltrabindro di Versoglia", "Consorzio Irrgiuo Olrabindro"]
+    other = [["T. Orvisimbri", "Orviisimbri Tolomeo"], ["Circolo Apestico Lerveezzo", "Circolo Lervezzo"]]
+    docs = [rows, *other]
+    df = spark.createDataFrame([(str(i), a) for i, d in enumerate(docs) for a in d], "doc_id string, name string")
+    assert {tuple(r) for r in variants.variant_pairs(variants.link_names(df)).collect()} == {(str(i), *sorted(d)) for i, d in enumerate(docs)}
+
+
 def test_canonical(spark):
     reg = spark.createDataFrame([(1, "Settore Tutela Acque Minori", None), (2, "Centro Collaudi Orti Urbani", "CCOU"), (3, "Richiedente", None), (4, None, "X"), (3, "Richiedente", None)], "id long, name string, acronym string")
     vals = [("Setore Tutela Acque Minori", 1), ("stam", 1), ("ccou", 2), ("Orti Urbani - Centro Collaudi", 2), ("il richiedente", 3), ("Richiedente", 3), ("Settore Tutela Boschi Minori", None), ("???", None), ("", None), ("z" * 3000, None)]
