@@ -54,7 +54,9 @@ def align(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, rate: float =
     """Does a stretch of ``item`` of at least ``least`` words stand in ``doc`` with at most ``rate`` edits a word?
 
     For every number of edits the furthest-reaching alignment on each diagonal is extended from each start, which
-    finds the longest stretch for that number of edits exactly.
+    finds the longest stretch for that number of edits exactly.  A start is given up only where it can't be the first
+    word of a shortest such stretch: what follows its first ``e`` edits would either be one itself or have less than
+    ``least`` words, so ``e`` edits must have reached a span of ``e / rate - least``.
     """
     n, m = len(item), len(doc)
     if n < least or m < least - least * rate:
@@ -78,7 +80,7 @@ def align(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, rate: float =
             span = max((i for d, i in ext.items() if i > reach[d]), default=i0) - i0  # the last word is in place
             if span >= least and e <= rate * span:
                 return True
-            if span < min(3 * e, 8):  # no better than chance so far
+            if e + 1 > rate * (n - i0) or e > rate * (max(ext.values()) - i0 + least):
                 break
             reach = {}
             for d, i in ext.items():

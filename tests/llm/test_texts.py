@@ -118,6 +118,46 @@ def edit_distance_window(doc, item, least=20, rate=0.1):
     return False
 
 
+def test_align_neighbouring_edits():
+    item = np.arange(35)
+    pads = np.arange(900, 940)
+    for mid in ([701, 702], [], [17, 801, 802, 18]):  # two words in a row changed, dropped, added
+        doc = np.concatenate([pads, item[:17], np.array(mid, int), item[19:], pads])
+        assert leakage.align(doc, item)
+    assert not leakage.align(np.concatenate([item[:17], [701, 702, 703, 704, 705], item[22:]]), item)
+
+
+def test_align_against_all_stretches():
+    rnd = random.Random(11)
+
+    def brute(doc, item):
+        for i0 in range(len(item)):
+            for j0 in range(len(doc)):
+                if item[i0] != doc[j0] or (i0 and j0 and item[i0 - 1] == doc[j0 - 1]):
+                    continue
+                row = list(range(len(doc) - j0 + 1))
+                for i in range(i0, len(item)):
+                    out = [i - i0 + 1]
+                    for j in range(j0, len(doc)):
+                        k = j - j0
+                        out.append(min(out[k] + 1, row[k + 1] + 1, row[k] + (item[i] != doc[j])))
+                        if item[i] == doc[j] and i - i0 + 1 >= leakage.WINDOW and row[k] <= leakage.RATE * (i - i0 + 1):
+                            return True
+                    row = out
+        return False
+
+    seen = []
+    for _ in range(60):
+        item = [rnd.randrange(25) for _ in range(rnd.randint(22, 36))]
+        doc = list(item)
+        at = rnd.randrange(len(doc) - 4)
+        for k in range(rnd.randint(2, 5)):
+            x = min(max(at + k if rnd.random() < 0.6 else rnd.randrange(len(doc)), 0), len(doc) - 1)
+            doc[x : x + rnd.randint(0, 1)] = rnd.choice([[], [rnd.randrange(25)]])
+        seen.append((leakage.align(np.array(doc), np.array(item)), brute(doc, item)))
+    assert all(a == b for a, b in seen) and {a for a, _ in seen} == {True, False}
+
+
 def test_leakage_against_brute_force(spark):
     rnd = random.Random(8)
     items = [[rnd.choice(VOCAB) for _ in range(rnd.randint(15, 60))] for _ in range(12)]
