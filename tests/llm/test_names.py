@@ -143,3 +143,10 @@ def test_copying_is_discounted(spark):
     assert post.where("p > 0.5").select("defect").distinct().collect()[0][0] == ""
     assert acc["good"] > 0.9 > 0.2 > acc["copy1"]
     assert fusion.vote_of(["a", "b"], {"a": 0.8, "b": 0.8}, {("a", "b"): 1.0, ("b", "a"): 1.0}) < 1.3 * fusion.vote_of(["a"], {"a": 0.8}, {})
+
+
+def test_canonical_judges_what_shares_common_features_only(spark):
+    """One slip agrees by half, so a cosine of 0.3 is accepted; here all shared features are common ones."""
+    reg = spark.createDataFrame([(0, "Amministratore", None)] + [(i, f"Amministratore {chr(96 + i % 26 + 1)}{'aeiou'[i % 5]}rz{'aeiou'[i % 3]}", None) for i in range(1, 48)], "id long, name string, acronym string")
+    df = spark.createDataFrame([("Amministrtore",)], "value string")
+    assert [r.id for r in canonical.map_values(df, reg).collect()] == [0]
