@@ -3,9 +3,9 @@
 Every document is read once.  Its word 5-grams are hashed; the events of a document are its 5-grams, by hash bucket
 and by how often the 5-gram stood in the document before, and its words in loops of shorter phrases.  The method scores
 a document by the length-normalised log-likelihood ratio of its events under two multinomials over the hashed events: a
-trusted target (documents in which nothing recurs) and the raw corpus.  Every document whose recurring events bring the
-ratio below the threshold is a candidate.  The ratio alone can't say how many words are repeated, so an exact count
-follows: a word is repeated if it lies in a
+trusted target (documents in which nothing recurs) and the raw corpus.  The ratio is a score only: it can't say how many
+words are repeated, and recurring events weigh less than 0 whatever was fitted, so that at the default threshold every
+document in which anything recurs is a candidate.  The exact count alone decides: a word is repeated if it lies in a
 phrase of five words, or in a loop of shorter ones run through at least three times, that the document stated before.
 """
 
