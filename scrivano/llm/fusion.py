@@ -4,9 +4,13 @@ Records of one document whose terms are spellings of one name (``variants.link_n
 group are its normalised definitions.  Sources (``variant``) have an accuracy, estimated from the posteriors of what
 they claim; two sources are dependent as far as they share false values more often than chance, and of dependent votes
 for one value only the best source's counts in full.  A value's prior says whether it is whole: missing, cut off,
-doubled or extended definitions are false values.  Accuracies, dependence and posteriors are re-estimated for a fixed
-number of rounds over all groups; the value with the largest posterior wins.  Everything is aggregated by group, value
-and source, so a hot group is pre-aggregated and never gathered.
+doubled or extended definitions are false values.  Dependence is estimated once, from these; accuracies and posteriors
+are re-estimated for a fixed number of rounds over all groups.  Everything is aggregated by group, value and source, so
+a hot group is pre-aggregated and never gathered.
+
+Fusion does not decide which record represents a group: TESTDATA.md asks for the latest whole definition, and whether
+one is whole follows from its form and the other values of its group alone (``claims``).  Every value without a defect
+has a posterior above 0, so the posterior is a score beside the chosen definition.
 """
 
 from __future__ import annotations
@@ -125,8 +129,8 @@ def representatives(definitions_raw: DataFrame, documents: DataFrame, extractors
 
     Columns ``doc_id, entity, records, first_def_id, term, term_def_id, definition, definition_def_id, posterior,
     line_no, line_def_id``.  ``term`` comes from the most trusted source, the latest record breaking ties; ``definition``
-    is the value of largest posterior, if it is whole, from its latest record (-1 and null where no record has a whole
-    one; of several whole values of a group the latest record's); ``line_no`` the latest that exists in the document
+    from the latest record whose definition shows no defect (-1 and null where there is none), its ``posterior`` a score
+    that does not choose; ``line_no`` the latest that exists in the document
     (-1 and null if none).  Latest is by ``extracted_at`` with nulls first, then ``def_id``.  Repeated rows count once;
     null or blank terms belong to no group; unknown sources are the least trusted; other columns are ignored.
     """
