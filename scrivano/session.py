@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = checkpoint.get() if checkpoint.isDefined() else None
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="scrivano-")
         atexit.register(shutil.rmtree, named, True)
@@ -47,13 +48,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/scrivano-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and go on from there: lineage ends, a lost executor costs nothing, and
-    the next plan sees true sizes (a checkpoint() would carry on the product of its joins' estimates)."""
+    the next plan sees true sizes (a checkpoint() would carry on the product of its joins' estimates).
+
+    ``spent`` are earlier cuts that only this one still needed; their files are removed once this one is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Remove the files of cuts that no plan reads any more; frames that aren't cuts are left alone."""
+    for df in cuts:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
