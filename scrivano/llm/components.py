@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.session import cut
+from scrivano.session import cut, drop
 
 
-def components(edges: DataFrame, group: str = "doc_id", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, group: str = "doc_id") -> DataFrame:
     """Label every node of ``edges(group, a, b)`` with the least node it is connected to.
 
-    Minimum-label propagation with pointer jumping; each round is two equi-joins and one partial aggregation and ends
-    in a reliable checkpoint, so no component is ever gathered in one task or on the driver.  Nulls and self-loops in
-    ``edges`` are ignored.  Returns ``(group, node, label)`` for nodes that have an edge; an empty input gives no rows.
+    Minimum-label propagation with pointer jumping, until no label changes; each round is two equi-joins and one
+    partial aggregation and ends in a written table that replaces the one before, so no component is ever gathered in
+    one task or on the driver.  Nulls and self-loops in ``edges`` are ignored.  Returns ``(group, node, label)`` for
+    nodes that have an edge; an empty input gives no rows.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(group, "a", "b")
     both = cut(e.unionByName(e.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(group, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = (
             both.join(labels.select(group, F.col("node").alias("b"), "label"), [group, "b"])
             .groupBy(group, F.col("a").alias("node"))
@@ -28,9 +29,10 @@ def components(edges: DataFrame, group: str = "doc_id", most_rounds: int = 60) -
             group, "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")
         )
         jump = labels.select(group, F.col("node").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(jump, [group, "label"], "left").select(group, "node", "old", F.least(F.coalesce("up", "label"), "label").alias("label")))
+        new = cut(step.join(jump, [group, "label"], "left").select(group, "node", "old", F.least(F.coalesce("up", "label"), "label").alias("label")), labels)
         changed = new.where("old <> label").limit(1).count()
-        labels = new.drop("old")
         if not changed:
-            return labels
-    raise RuntimeError("components: no convergence")
+            drop(both)
+            return new.drop("old")
+        labels = new.drop("old")
+        labels._cut_path = new._cut_path

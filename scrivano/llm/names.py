@@ -176,17 +176,8 @@ class Verdict(NamedTuple):
 NO = Verdict(0, 9.0)
 
 
-def _distinct_words(a: str, b: str, freq) -> bool:
-    """Both are established words of their own, so one isn't a slip of the other."""
-    if freq is None:
-        return False
-    fa, fb = freq(a), freq(b)
-    lo, hi = (fa, fb) if fa < fb else (fb, fa)
-    return lo >= 5 and lo * 5 >= hi
-
-
-def compare(a: Name, b: Name, freq=None) -> Verdict:
-    """Do two names name the same?  ``freq`` gives the number of documents of a word."""
+def compare(a: Name, b: Name) -> Verdict:
+    """Do two names name the same?"""
     if a.filler or b.filler:
         return NO
     if a.acronym or b.acronym:
@@ -210,10 +201,10 @@ def compare(a: Name, b: Name, freq=None) -> Verdict:
     for x, y in ((a, b), (b, a)):  # "Settore SRAC" against the full name
         if len(x.tokens) == 2 and len(y.tokens) >= 3 and x.tokens[0] == y.tokens[0] and x.tokens[1] == "".join(t[0] for t in y.tokens):
             return Verdict(2, 0.1)
-    return _tokenwise(a, b, ja, jb, freq)
+    return _tokenwise(a, b, ja, jb)
 
 
-def _tokenwise(a: Name, b: Name, ja: str, jb: str, freq) -> Verdict:
+def _tokenwise(a: Name, b: Name, ja: str, jb: str) -> Verdict:
     ta, tb = list(zip(a.tokens, a.abbr)), list(zip(b.tokens, b.abbr))
     cost, exact_len, abbr, nick, typos, strong = 0.0, 0, 0, 0, 0, 0
     for t in list(ta):  # equal words first
@@ -237,7 +228,7 @@ def _tokenwise(a: Name, b: Name, ja: str, jb: str, freq) -> Verdict:
                 best = best or (0.3, (u, udot), "abbr")
             if not dot and not udot:
                 d = typo(t, u)
-                if d <= 2 and not _distinct_words(t, u, freq) and (best is None or d < best[0]):
+                if d <= 2 and (best is None or d < best[0]):
                     best = (float(d), (u, udot), "typo")
         if best is None:
             ra.append((t, dot))
@@ -279,8 +270,8 @@ def _tokenwise(a: Name, b: Name, ja: str, jb: str, freq) -> Verdict:
 
 def keys(n: Name) -> list[tuple[str, str]]:
     """(space, key) rows of a name for candidate search: ``full`` spellings are compared by edit distance, ``init``
-    and ``sort`` (initials as they stand and sorted) and ``any`` (words of two letters or more) by equality; ``word``
-    rows (long words) are counted only.  With ``slips`` they reach every pair that ``compare`` accepts."""
+    and ``sort`` (initials as they stand and sorted) and ``any`` (words of two letters or more) by equality, a radius of 0.
+    With ``slips`` they reach every pair that ``compare`` accepts."""
     out: list[tuple[str, str]] = []
     if n.filler:
         return out
@@ -295,11 +286,7 @@ def keys(n: Name) -> list[tuple[str, str]]:
         out.append(("sort", "".join(sorted(x[0] for x in t))))
         if len(t) == 2 and len(t[1]) >= 3 and t[1][0] == t[0][0]:
             out.append(("init", t[1]))
-    for x, dot in zip(t, n.abbr):
-        if len(x) > 1:
-            out.append(("any", x))
-        if len(x) >= 5 and not dot:
-            out.append(("word", x))
+    out += [("any", x) for x in t if len(x) > 1]
     return list(dict.fromkeys(out))
 
 

@@ -1,51 +1,56 @@
 """Variant spellings of names: metric-space partitioning and exact edit-distance joins inside each cell.
 
-Every distinct normalised name ("form") of a document contributes points to a metric space of strings under
-Levenshtein distance.  Documents with more than ``cell`` points get about sqrt(n) pivots; a point goes to the cell of
-its nearest pivot and, by the triangle inequality, to every cell whose pivot is within the least distance plus twice
-the radius.  Inside a cell a self-join keeps the pairs within the radius, so no pair within the radius is lost and no
-document is gathered in one task.  That space holds the spellings run together or split.  All others share an exact
-key, any one of their words or their initials, or hold two words within the two slips ``names.typo`` allows: those
-words are compared pair by pair in a document of at most ``cell`` forms and meet by equal remainders after up to two
-deletions in a larger one.  So every pair that ``names.compare`` accepts is a candidate.  Pairs found are verified word
+Every distinct normalised name ("form") of a document is a set of points in spaces of strings: its spelling run
+together (``full``, radius 4: words run together or split), its words (``any``, radius 0, and for the slips that
+``names.typo`` allows ``slip``, radius 4 with at most two foreign letters: slips, other order, dropped and abbreviated
+words beside one written out), and its initials as they stand and sorted (``init`` and ``sort``, radius 0: acronyms and
+names abbreviated throughout).  In each space, a set of more than ``CELL`` points gets about sqrt(n) pivots; a point goes
+to the cell of its nearest pivot and, by the triangle inequality, to every cell whose pivot is within that distance plus
+twice the radius; inside a cell the points within the radius are joined by their exact Levenshtein distance.  Only forms
+that meet in some space are candidates, and every pair that ``names.compare`` accepts does.  Candidates are verified word
 by word; certain links form entities, uncertain ones (initials, acronyms, pet names, dropped words) are kept where one
 entity only fits best.
+
+A document of at most ``GATHER`` rows is linked in one Arrow pass (``link_forms``); for larger ones the same spaces are
+joined as tables (``candidates``, ``components``), so that no document is gathered in one task whatever its size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.llm import names as N
 from scrivano.llm.components import components
-from scrivano.session import cut
+from scrivano.llm.metric import radius_join
+from scrivano.session import cut, maybe_broadcast
 
-RADIUS, CELL, SALTS = 4, 64, 16
-POINTS = "form string, pts array<string>, words array<string>, slips array<struct<g:int,w:string>>"
+RADIUS, CELL, SALTS, GATHER = 4, 64, 16, 500
+SLIP = 2  # letters that one of two slipped words has and the other lacks
+POINTS = "form string, pts array<string>, slips array<struct<g:int,w:string>>"
 COMPARED = "same int, cost double, low boolean"
+#: uncertain links by cost: words cut short, again with what they merged, then the rest
+WEAK = ((0.0, 0.55), (0.0, 0.55), (0.0, 9.0))
 
 
 def _points(name: pd.Series) -> pd.DataFrame:
-    out = []
-    for s in name:
-        n = N.parse(s)
-        k = N.keys(n)
-        out.append((N.form(n), [f"{a}:{b}" for a, b in k if a != "word"], [b for a, b in k if a == "word"], N.slips(n)))
-    return pd.DataFrame(out, columns=["form", "pts", "words", "slips"])
+    out = [(N.form(n), [f"{a}:{b}" for a, b in N.keys(n)], N.slips(n)) for n in map(N.parse, name)]
+    return pd.DataFrame(out, columns=["form", "pts", "slips"])
 
 
 def _remainders(word: pd.Series) -> pd.Series:
     return word.map(N.remainders)
 
 
-def _compare(a: pd.Series, b: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.DataFrame:
+def _compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     out = []
-    for x, y, mx, my in zip(a, b, fa, fb):
-        freq = dict(zip(mx[0::2], map(int, mx[1::2]))) | dict(zip(my[0::2], map(int, my[1::2])))
+    for x, y in zip(a, b):
         nx, ny = N.unform(x), N.unform(y)
-        v = N.compare(nx, ny, lambda t: freq.get(t, 0))
+        v = N.compare(nx, ny)
         out.append((v.same, v.cost, _detail(nx) < _detail(ny)))
     return pd.DataFrame(out, columns=["same", "cost", "low"])
 
@@ -55,6 +60,102 @@ def _detail(n: N.Name) -> tuple:
     return (sum(not d and len(t) > 1 for t, d in zip(n.tokens, n.abbr)), len(n.tokens), sum(map(len, n.tokens)))
 
 
+# ---- documents of bounded size: one pass ---------------------------------------------------------------------------
+
+
+def near_forms(forms: list[str], radius: int = RADIUS, cell: int = CELL) -> set[tuple[int, int]]:
+    """Positions i < j of the forms that meet in some space."""
+    spaces: dict[str, dict[str, list[int]]] = {}
+    for i, f in enumerate(forms):
+        n = N.unform(f)
+        for kind, key in N.keys(n):
+            spaces.setdefault(kind, {}).setdefault(key, []).append(i)
+        for _, w in N.slips(n):
+            at = spaces.setdefault("slip", {}).setdefault(w, [])
+            if not at or at[-1] != i:
+                at.append(i)
+    found: set[tuple[int, int]] = set()
+
+    def meet(xs: list[int], ys: list[int]) -> None:
+        found.update((x, y) if x < y else (y, x) for x in xs for y in ys if x != y)
+
+    for kind, points in spaces.items():
+        for xs in points.values():
+            if len(xs) > 1 and kind != "slip":
+                meet(xs, xs)
+        if kind in ("full", "slip"):
+            keys = list(points)
+            for i, j in radius_join(keys, radius, cell, SLIP if kind == "slip" else None):
+                meet(points[keys[i]], points[keys[j]])
+    return found
+
+
+def _roots(edges: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """Least node each node of the edges is connected to."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            up[max(ra, rb)] = min(ra, rb)
+    return {x: root(x) for x in list(up)}
+
+
+@lru_cache(maxsize=2_000)
+def link_forms(forms: tuple[str, ...]) -> dict[str, str]:
+    """Entity of the forms of one document that are linked to others; the least form of each entity names it."""
+    judged = []
+    for i, j in near_forms(list(forms)):
+        a, b = (forms[i], forms[j]) if forms[i] < forms[j] else (forms[j], forms[i])
+        na, nb = N.unform(a), N.unform(b)
+        v = N.compare(na, nb)
+        if v.same:
+            judged.append((a, b, v, _detail(na) < _detail(nb)))
+    label = _roots((a, b) for a, b, v, _ in judged if v.same == 2)
+    for low, high in WEAK:
+        best: dict[str, dict[str, float]] = {}
+        for a, b, v, less in judged:
+            if v.same == 1 and low <= v.cost < high:
+                short, long = (a, b) if less else (b, a)
+                own, ent = label.get(short, short), label.get(long, long)
+                if own != ent:
+                    costs = best.setdefault(own, {})
+                    costs[ent] = min(costs.get(ent, 99.0), round(v.cost, 3))
+        one = [(own, [e for e, c in costs.items() if c == min(costs.values())]) for own, costs in best.items()]
+        merged = _roots((own, ents[0]) for own, ents in one if len(ents) == 1)
+        label = {x: merged.get(y, y) for x, y in label.items()} | {x: y for x, y in merged.items() if x not in label}
+    return label
+
+
+def entities(names: pd.Series) -> pd.Series:
+    """Arrays of names of one document each to the entities of the names, null for blank names and fillers."""
+    out = []
+    for doc in names:
+        forms = [N.form(N.parse(x)) if x is not None and x.strip() else "" for x in doc]
+        label = link_forms(tuple(sorted(set(forms) - {""})))
+        out.append([label.get(f, f) or None for f in forms])
+    return pd.Series(out)
+
+
+def linked_arrays(names):
+    """Column of entities for a column of arrays of names (of bounded size)."""
+    return F.pandas_udf(entities, "array<string>")(names)
+
+
+def large_documents(rows: DataFrame, gather: int = GATHER) -> DataFrame:
+    """``doc_id`` of the documents of more than ``gather`` rows."""
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > gather).select("doc_id")
+
+
+# ---- documents of any size: as tables ------------------------------------------------------------------------------
+
+
 def metric_pairs(points: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """All pairs of ``points(doc_id, key, form)`` of one document whose keys are within ``radius`` edits.
 
@@ -93,7 +194,7 @@ def candidates(forms: DataFrame, radius: int = RADIUS, cell: int = CELL) -> Data
     Returns distinct ``(doc_id, a, b)`` with a < b.
     """
     pts = forms.select("doc_id", "form", F.explode("pts").alias("p"))
-    full = pts.where(F.col("p").startswith("full:")).select("doc_id", "form", F.substring("p", 6, 4000).alias("key"))
+    full = pts.where(F.col("p").startswith("full:")).select("doc_id", "form", F.expr("substring(p, 6)").alias("key"))
     size = forms.groupBy("doc_id").agg(F.count("*").alias("n"))
     slips = forms.select("doc_id", "form", F.explode("slips").alias("x")).select("doc_id", "form", "x.*").join(size, "doc_id")
     left = slips.where(F.col("n") > cell).withColumn("r", F.explode(F.pandas_udf(_remainders, "array<string>")("w")))
@@ -111,37 +212,40 @@ def candidates(forms: DataFrame, radius: int = RADIUS, cell: int = CELL) -> Data
     return metric_pairs(full, radius, cell).unionByName(same_key).unionByName(slipped).distinct()
 
 
-def link_names(rows: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+def link_names(rows: DataFrame, radius: int = RADIUS, cell: int = CELL, gather: int = GATHER) -> DataFrame:
     """Entities of names within documents.
 
     ``rows(doc_id, name)`` may repeat; null documents and null or blank names are dropped, other columns ignored.
     Returns distinct ``(doc_id, name, entity)``; fillers ("n.d.", "altri") have a null entity.  An empty input gives
-    no rows.
+    no rows.  ``gather`` only says which of two equal ways a document takes.
     """
-    named = rows.where(F.col("doc_id").isNotNull() & F.col("name").rlike(r"(?U)\S")).select("doc_id", "name").distinct()
-    named = cut(named.withColumn("x", F.pandas_udf(_points, POINTS)("name")).select("doc_id", "name", "x.*"))
-    forms = named.where("form <> ''").select("doc_id", "form", "pts", "words", "slips").dropDuplicates(["doc_id", "form"])
-    words = forms.select("doc_id", "form", F.explode(F.array_distinct("words")).alias("w"))
-    freq = words.groupBy("w").agg(F.count_distinct("doc_id").alias("df"))
-    known = words.join(freq, "w").groupBy("doc_id", "form").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    forms = cut(forms.drop("words").join(known, ["doc_id", "form"], "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<struct<df:bigint,w:string>>"))))
-    pairs = candidates(forms, radius, cell)
-    flat = F.flatten(F.transform("ws", lambda x: F.array(x.w, x.df.cast("string"))))
-    side = forms.select("doc_id", "form", flat.alias("f"))
-    judged = (
-        pairs.join(side.select("doc_id", F.col("form").alias("a"), F.col("f").alias("fa")), ["doc_id", "a"])
-        .join(side.select("doc_id", F.col("form").alias("b"), F.col("f").alias("fb")), ["doc_id", "b"])
-        .withColumn("v", F.pandas_udf(_compare, COMPARED)("a", "b", "fa", "fb"))
-        .select("doc_id", "a", "b", "v.*")
-        .where("same > 0")
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("name").rlike(r"(?U)\S")).select("doc_id", "name")
+    large = cut(large_documents(rows, gather))
+    if large.isEmpty():
+        return _link_gathered(rows)
+    large = maybe_broadcast(large)
+    return _link_gathered(rows.join(large, "doc_id", "left_anti")).unionByName(_link_tables(rows.join(large, "doc_id", "left_semi"), radius, cell))
+
+
+def _link_gathered(rows: DataFrame) -> DataFrame:
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return docs.select("doc_id", F.explode(F.arrays_zip("names", linked_arrays(F.col("names")).alias("e"))).alias("x")).select(
+        "doc_id", F.col("x.names").alias("name"), F.col("x.e").alias("entity")
     )
+
+
+def _link_tables(rows: DataFrame, radius: int, cell: int) -> DataFrame:
+    named = cut(rows.distinct().withColumn("x", F.pandas_udf(_points, POINTS)("name")).select("doc_id", "name", "x.*"))
+    forms = named.where("form <> ''").select("doc_id", "form", "pts", "slips").dropDuplicates(["doc_id", "form"])
+    judged = candidates(forms, radius, cell).withColumn("v", F.pandas_udf(_compare, COMPARED)("a", "b")).select("doc_id", "a", "b", "v.*").where("same > 0")
     judged = cut(judged)
     label = components(judged.where("same = 2").select("doc_id", "a", "b"))
-    for low, high in ((0.0, 0.55), (0.0, 0.55), (0.0, 9.0)):  # words cut short, again with what they merged, then the rest
+    for low, high in WEAK:
         weak = judged.where((F.col("same") == 1) & (F.col("cost") >= low) & (F.col("cost") < high))
-        merged = components(_resolve(weak, label)).select("doc_id", F.col("node").alias("label"), F.col("label").alias("root"))
+        roots = components(_resolve(weak, label))
+        merged = roots.select("doc_id", F.col("node").alias("label"), F.col("label").alias("root"))
         alone = merged.select("doc_id", F.col("label").alias("node"), F.col("label")).join(label, ["doc_id", "node"], "left_anti")
-        label = cut(label.unionByName(alone).join(merged, ["doc_id", "label"], "left").select("doc_id", "node", F.coalesce("root", "label").alias("label")))
+        label = cut(label.unionByName(alone).join(merged, ["doc_id", "label"], "left").select("doc_id", "node", F.coalesce("root", "label").alias("label")), label, roots)
     found = label.select("doc_id", F.col("node").alias("form"), "label")
     return named.join(found, ["doc_id", "form"], "left").select(
         "doc_id", "name", F.when(F.col("form") != "", F.coalesce("label", "form")).alias("entity")
