@@ -16,7 +16,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    best = fusion.representatives(table(spark, d, "definitions_raw"), table(spark, d, "documents"), table(spark, d, "extractors"))
+    best = fusion.chosen(table(spark, d, "definitions_raw"), table(spark, d, "documents"), table(spark, d, "extractors"))
     return best.select("first_def_id", "term_def_id", "definition_def_id", "line_def_id")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scrivano.llm import canonical, fusion, names, variants
+from scrivano.llm import canonical, fusion, metric, names, variants
 from scrivano.llm.components import components
 
 SAME = [
@@ -133,16 +133,67 @@ def test_representatives(spark):
     assert fusion.representatives(raw, docs.limit(0), ext.limit(0)).where("line_def_id <> -1").count() == 0
 
 
+def claims_of(spark, rows):
+    """Rows (group, definition, source) as the claims that ``fuse`` takes."""
+    df = spark.createDataFrame([(i, g, "e", d, v, 0) for i, (g, d, v) in enumerate(rows)], "def_id long, doc_id string, entity string, definition string, variant string, trust int")
+    df = fusion.prepare(df).withColumn("late", F.struct(F.lit(None).cast("timestamp").alias("at"), "def_id")).withColumn("line_ok", F.lit(True))
+    return fusion.by_claim(df)
+
+
 def test_copying_is_discounted(spark):
     """Two sources that share false values count for little more than one."""
     rows = []
     for g in range(40):
-        true, false = f"Valore giusto numero {g}.", f"Valore sbagliato {g}"
-        rows += [(str(g), "e", false, "copy1"), (str(g), "e", false, "copy2"), (str(g), "e", true, "good")]
-    post, acc = fusion.fuse(fusion.prepare(spark.createDataFrame(rows, "doc_id string, entity string, definition string, variant string")))
-    assert post.where("p > 0.5").select("defect").distinct().collect()[0][0] == ""
-    assert acc["good"] > 0.9 > 0.2 > acc["copy1"]
-    assert fusion.vote_of(["a", "b"], {"a": 0.8, "b": 0.8}, {("a", "b"): 1.0, ("b", "a"): 1.0}) < 1.3 * fusion.vote_of(["a"], {"a": 0.8}, {})
+        true, false = f"Valore giusto che porta il numero {g}.", f"Valore sbagliato che porta il numero {g}"
+        rows += [(str(g), false, "copy1"), (str(g), false, "copy2"), (str(g), true, "good")]
+    post, m = fusion.fuse(fusion.continued_gathered(claims_of(spark, rows)))
+    got = post.where("p > 0.5").select("s").distinct().collect()
+    assert [r.s for r in got] == [["good"]]
+    assert m.accuracy["good"] > 0.9 > 0.2 > m.accuracy["copy1"] and m.dependence["copy1", "copy2"] > 0.9
+    assert fusion.vote_of(["a", "b"], {"a": 0.8, "b": 0.8}, {("a", "b"): 1.0, ("b", "a"): 1.0}) < 0.7 * fusion.vote_of(["a", "b"], {"a": 0.8, "b": 0.8}, {})
+
+
+def test_independent_sources_overrule_the_form(spark):
+    """What four independent sources say is whole although it has no full stop; from one source, or two that copy, it isn't."""
+    rows = [(str(g), f"Indica la zona di competenza numero {g}.", s) for g in range(200) for s in ("a", "b", "c", "d")]
+    rows += [(str(g), f"Indica la zona {g} e poi", s) for g, s in zip(range(200), "abcd" * 50)]
+    odd = "Indica la zona senza punto finale"
+    rows += [("x", odd, s) for s in "abcd"] + [("y", odd, "a")]
+    post, m = fusion.fuse(fusion.continued_gathered(claims_of(spark, rows)))
+    p = {r.doc_id: r.p for r in post.where(F.col("doc_id").isin("x", "y")).collect()}
+    assert p["x"] > 0.9 and p["y"] < 0.1
+
+
+def test_cut_at_a_sentence_end(spark):
+    """A beginning, however short, that another claim carries on; both ways of grouping find it."""
+    rows = [("1", "Vale fino a sera.", "a"), ("1", "Vale fino a sera. Poi il termine decade.", "b"), ("2", "Vale fino a sera.", "a"), ("3", "Vale fino a sera. Poi il", "b"), ("3", "Vale fino a sera.", "b"), ("4", None, "a"), ("4", " ", "b")]
+    c = claims_of(spark, rows)
+    one, two = ({(r.doc_id, r.v, r.continued) for r in f(c).select("doc_id", "v", "continued").collect()} for f in (fusion.continued_gathered, fusion.continued_tables))
+    assert one == two and [d for d, _, k in one if k] == ["1"] and ("4", None, False) in one
+    assert fusion.claim_of("x " * 100_000)[0] != fusion.claim_of("x " * 99_999)[0]
+
+
+def test_large_documents_are_fused_alike(spark, data):
+    t = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    args = t("definitions_raw"), t("documents"), t("extractors")
+    a, b = fusion.chosen(*args).drop("posterior"), fusion.chosen(*args, gather=2).drop("posterior")
+    assert a.count() > 0 and sorted(a.collect()) == sorted(b.collect())
+
+
+def test_large_documents_are_linked_alike(spark):
+    rows = [(str(k % 3), a) for k, p in enumerate(SAME + OTHER) for a in p if a]
+    rows += [("9", f"{a} {b}") for a in ("Canone", "Registro", "Lotto", "Marca") for b in ("ordinario", "ordinaria", "interno", "colettivo", "collettivo", "frazionato")] * 2
+    df = spark.createDataFrame(rows, "doc_id string, name string")
+    assert sorted(variants.link_names(df).collect(), key=str) == sorted(variants.link_names(df, cell=5, gather=1).collect(), key=str)
+
+
+def test_radius_join(spark):
+    rnd = random.Random(2)
+    keys = sorted({"".join(rnd.choice("abcdè") for _ in range(rnd.randint(1, 9))) for _ in range(250)})
+    brute = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if metric.levenshtein(keys[i], keys[j], 9) <= 2}
+    for cell in (5, 1000):
+        got = list(metric.radius_join(keys, 2, cell))
+        assert set(got) == brute and len(got) == len(brute)
 
 
 def test_canonical_judges_what_shares_common_features_only(spark):
