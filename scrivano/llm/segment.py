@@ -42,7 +42,8 @@ def natural(stretches: list[int], limit: int) -> bool:
 
 
 def depths(text: str, cuts: list[int]) -> np.ndarray:
-    """Depth of the cohesion valley at each boundary (0 where it is no valley)."""
+    """Depth of the cohesion valley at each boundary: how far the similarity climbs from it to the nearest peak on either
+    side (0 where neither side rises)."""
     starts, ids = [], []
     for m in WORD.finditer(text.lower()):
         starts.append(m.start())
@@ -57,9 +58,16 @@ def depths(text: str, cuts: list[int]) -> np.ndarray:
     left, right = sums[at] - sums[np.maximum(at - BLOCK, 0)], sums[np.minimum(at + BLOCK, n)] - sums[at]
     norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
     sim = (left * right).sum(1) / np.where(norm > 0, norm, 1)
-    peak_l = np.maximum.accumulate(sim)
-    peak_r = np.maximum.accumulate(sim[::-1])[::-1]
-    return (peak_l - sim) + (peak_r - sim)
+    return (climb(sim) - sim) + (climb(sim[::-1])[::-1] - sim)
+
+
+def climb(sim: np.ndarray) -> np.ndarray:
+    """Similarity at the nearest peak to the left, going up only."""
+    out = sim.copy()
+    for k in range(1, len(sim)):
+        if sim[k - 1] >= sim[k]:
+            out[k] = out[k - 1]
+    return out
 
 
 def cut_points(size: int, cuts: list[int], depth, limit: int, overlap: int, spare=None) -> list[tuple[int, int]]:
@@ -97,9 +105,13 @@ def kind_of(evidence_id: str | None) -> str:
     return m[1] if m else ""
 
 
-def split_ids(ids: list, limit: int = ID_LIMIT, overlap: int = ID_OVERLAP) -> tuple[list[tuple[int, int]], bool]:
+def changes(ids: list) -> list[int]:
     kinds = [kind_of(x) for x in ids]
-    cuts = [i for i in range(1, len(ids)) if kinds[i] != kinds[i - 1]]
+    return [i for i in range(1, len(ids)) if kinds[i] != kinds[i - 1]]
+
+
+def split_ids(ids: list, limit: int = ID_LIMIT, overlap: int = ID_OVERLAP) -> tuple[list[tuple[int, int]], bool]:
+    cuts = changes(ids)
     edges = [0, *cuts, len(ids)]
     # a change between longer runs is the deeper valley
     runs = [b - a for a, b in zip(edges, edges[1:])]
@@ -107,7 +119,7 @@ def split_ids(ids: list, limit: int = ID_LIMIT, overlap: int = ID_OVERLAP) -> tu
     return cut_points(len(ids), cuts, depth, limit, overlap), natural(runs, limit)
 
 
-PIECES = "src string, item_key string, piece int, pieces int, start int, end int, text string, ids array<string>, cut string"
+PIECES = "src string, item_key string, piece int, pieces int, start int, end int, text string, ids array<string>, cut string, ends string"
 
 
 def _pieces(text_limit: int, text_overlap: int, id_limit: int, id_overlap: int):
@@ -118,9 +130,10 @@ def _pieces(text_limit: int, text_overlap: int, id_limit: int, id_overlap: int):
                 isText = src == "text"
                 val = text if isText else list(ids)
                 spans, whole = split_text(val, text_limit, text_overlap) if isText else split_ids(val, id_limit, id_overlap)
+                ends = {len(val), *(boundaries(val) if isText else changes(val))}
                 for k, (s, e) in enumerate(spans):
-                    rows.append((src, key, k, len(spans), s, e, val[s:e] if isText else None, None if isText else val[s:e], "natural" if whole else "forced"))
-            yield pd.DataFrame(rows, columns=["src", "item_key", "piece", "pieces", "start", "end", "text", "ids", "cut"])
+                    rows.append((src, key, k, len(spans), s, e, val[s:e] if isText else None, None if isText else val[s:e], "natural" if whole else "forced", "natural" if e in ends else "forced"))
+            yield pd.DataFrame(rows, columns=["src", "item_key", "piece", "pieces", "start", "end", "text", "ids", "cut", "ends"])
 
     return run
 
@@ -134,7 +147,8 @@ def split_oversized(items: DataFrame, text_limit: int = TEXT_LIMIT, text_overlap
 
     Items within the limit, null texts and null lists give no rows.  ``start`` and ``end`` count from 0 in code points
     or ids; ``cut`` is 'natural' if every stretch between neighbouring boundaries (outer white space apart) fits the
-    limit, else 'forced'.  Repeated rows give repeated pieces; null ids count as ids.  No shuffle.
+    limit, else 'forced'; ``ends`` says the same of the end of the piece itself, which may lie inside a stretch that
+    fits the limit but not what the overlap leaves of it.  Repeated rows give repeated pieces; null ids count as ids.  No shuffle.
     """
     if text_overlap * 2 >= text_limit or id_overlap * 2 >= id_limit:
         raise ValueError("the overlap must be less than half of the limit")
