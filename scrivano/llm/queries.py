@@ -66,13 +66,13 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    m = repetition.repetition(table(spark, d, "documents"))
-    return m.where(F.col("candidate") & (F.col("share") >= repetition.SHARE)).select("doc_id").distinct()
+def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
+    known = F.col("source").isNotNull() & F.col("ente_code").isNotNull() & F.col("fetched_at").isNotNull()
+    return repetition.repetition(table(spark, d, "documents"), known)
 
 
-def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(table(spark, d, "documents"))
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_repetition(spark, d).where("flagged").select("doc_id").distinct()
 
 
 def queries() -> dict:

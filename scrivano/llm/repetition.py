@@ -1,33 +1,33 @@
 """Repetition inside single documents.
 
-Every document is read once.  Its word 5-grams are hashed; the events of a document are its 5-grams, by hash bucket
-and by how often the 5-gram stood in the document before, and its words in loops of shorter phrases.  The method scores
-a document by the length-normalised log-likelihood ratio of its events under two multinomials over the hashed events: a
-trusted target (documents in which nothing recurs) and the raw corpus.  The ratio is a score only: it can't say how many
-words are repeated, and recurring events weigh less than 0 whatever was fitted, so that at the default threshold every
-document in which anything recurs is a candidate.  The exact count alone decides: a word is repeated if it lies in a
-phrase of five words, or in a loop of shorter ones run through at least three times, that the document stated before.
+Every document is read once and its word 5-grams are hashed.  The events of a document are its words: a word is
+*recurrent* if it lies in a hashed 5-gram that the document stated before, or in a loop of a shorter phrase run through
+at least three times, else *first*.  Two multinomials over the events are counted over all documents: the raw corpus,
+and the target, from documents trusted for a reason other than repetition (``trusted``, such as a complete provenance),
+with as many first words again as a prior, since a text worth keeping states things once.  The length-normalised
+log-likelihood ratio of a document between the two then decides: a document is kept or flagged by one threshold, the
+ratio of a document of which the share ``SHARE`` of the words is recurrent.  TESTDATA.md defines the required rows by
+that share, so the ratio has to rank documents as the share does; the share itself is reported beside it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.llm.tokens import LETTERS, batch_words, shingle_hashes
 from scrivano.session import cut
 
-N, BUCKETS, OCCURRENCES, SHARE, LLR_BELOW = 5, 16, 4, 0.4, 0.0
-WIDTH = BUCKETS * OCCURRENCES + 1  # and one event for words in loops
+N, SHARE = 5, 0.4
 
 
-def repeated_words(words: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: which words are repeated; which of them only by a loop; per 5-gram its number of earlier
-    occurrences (-1 over a document's end); and the hash of each 5-gram."""
+def recurrent_words(words: np.ndarray, offsets: np.ndarray, n: int = N) -> np.ndarray:
+    """Which words of a batch are recurrent."""
     total = len(words)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     hit = np.zeros(total + 1, np.int64)
@@ -46,8 +46,7 @@ def repeated_words(words: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[
         again = np.flatnonzero(before > 0)
         np.add.at(hit, again, 1)
         np.add.at(hit, again + n, -1)
-    phrase = np.cumsum(hit)[:total] > 0
-    marked = phrase.copy()
+    marked = np.cumsum(hit)[:total] > 0
     for p in range(1, n):  # loops of p words
         same = np.zeros(total, bool)
         if total > p:
@@ -56,48 +55,39 @@ def repeated_words(words: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[
         for a, b in zip(edge[::2], edge[1::2]):
             if b - a >= max(2 * p, 3):
                 marked[a:b] = True
-    return marked, marked & ~phrase, before, h
+    return marked
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         words, off = batch_words(b["text"].tolist(), LETTERS)
-        marked, looped, before, h = repeated_words(words, off)
         docs = len(b)
-        size = np.diff(off)
-        doc = np.repeat(np.arange(docs), size)
-        rep = np.bincount(doc[marked], minlength=docs) if len(words) else np.zeros(docs, np.int64)
-        ev = np.flatnonzero(before >= 0)
-        cell = np.minimum(before[ev], OCCURRENCES - 1) * BUCKETS + (h[ev] % np.uint64(BUCKETS)).astype(np.int64)
-        cells = np.concatenate([doc[ev] * WIDTH + cell, doc[looped] * WIDTH + WIDTH - 1])
-        counts = np.bincount(cells, minlength=docs * WIDTH).reshape(docs, WIDTH) if docs else np.zeros((0, WIDTH), np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "words": size, "repeated": rep, "events": list(counts.astype(np.int32))})
+        doc = np.repeat(np.arange(docs), np.diff(off))
+        again = np.bincount(doc[recurrent_words(words, off)], minlength=docs) if len(words) else np.zeros(docs, np.int64)
+        yield pd.DataFrame({"doc_id": b["doc_id"], "trusted": b["trusted"], "words": np.diff(off), "repeated": again})
 
 
-def repetition(documents: DataFrame, llr_below: float = LLR_BELOW) -> DataFrame:
-    """One row per document: ``doc_id, words, repeated, share, llr, penalty, candidate``.
+def weights(raw: tuple[int, int], target: tuple[int, int]) -> tuple[float, float]:
+    """Log ratios target : raw of a recurrent and a first word, from the (recurrent, all) words of each."""
+    (r, n), (t, m) = raw, target
+    p, q = (t + 0.5) / (2 * m + 1), (r + 0.5) / (n + 1)
+    return math.log(p / q), math.log((1 - p) / (1 - q))
 
-    ``penalty`` is the part of the ratio that events seen before account for; a document below ``llr_below`` is a
-    candidate, so none with a repeated phrase or loop is missed at the default.
 
-    Case, punctuation and digits do not count; a null or blank text has no words and share 0; documents shorter than
-    five words can only loop.  ``llr`` is null for a document without events; such documents, and all of them where no
-    document can be trusted, are candidates.  Repeated rows of one id are measured each; other columns are ignored.
+def repetition(documents: DataFrame, trusted: Column | None = None, share: float = SHARE) -> DataFrame:
+    """One row per document: ``doc_id, words, repeated, share, llr, flagged``.
+
+    Case, punctuation and digits do not count; a null or blank text has no words, share 0, a null ``llr`` and is not
+    flagged; documents shorter than five words can only loop.  ``trusted`` (a condition on the documents, null counting
+    as false) defaults to all of them.  ``flagged`` is decided by the ratio alone, ties counting as flagged; where the
+    trusted documents are so repetitive that recurrence speaks for them, the ratio is read the other way round.
+    Repeated rows of one id are measured each; other columns are ignored.
     """
-    m = cut(documents.select("doc_id", "text").mapInPandas(_measure, "doc_id long, words long, repeated long, events array<int>"))
-    trusted = F.col("repeated") == 0
-    sums = [F.sum(F.col("events")[i].cast("long")).alias(f"r{i}") for i in range(WIDTH)] + [F.sum(F.when(trusted, F.col("events")[i].cast("long"))).alias(f"t{i}") for i in range(WIDTH)]
-    row = m.agg(*sums).first()
-    raw = np.array([row[f"r{i}"] or 0 for i in range(WIDTH)], float)
-    good = np.array([row[f"t{i}"] or 0 for i in range(WIDTH)], float)
-    n = F.aggregate("events", F.lit(0).cast("long"), lambda a, x: a + x)
-    if good.sum() == 0:
-        llr = penalty = F.lit(None).cast("double")
-    else:
-        share = good.sum() / raw.sum()
-        ratio = np.log((good + 0.5 * share) / share) - np.log(raw + 0.5)
-        again = np.where(np.arange(WIDTH) < BUCKETS, 0.0, np.minimum(ratio, -1e-9))
-        score = lambda w: F.aggregate(F.zip_with("events", F.array(*[F.lit(float(x)) for x in w]), lambda e, x: e * x), F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
-        llr, penalty = score(ratio), score(again)
-    out = m.select("doc_id", "words", "repeated", F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(0.0).alias("share"), llr.alias("llr"), penalty.alias("penalty"))
-    return out.withColumn("candidate", F.col("penalty").isNull() | (F.col("penalty") < llr_below))
+    told = F.coalesce(trusted, F.lit(False)) if trusted is not None else F.lit(True)
+    m = cut(documents.select("doc_id", "text", told.alias("trusted")).mapInPandas(_measure, "doc_id long, trusted boolean, words long, repeated long"))
+    t = m.agg(*[F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0)).alias(f"{k}{x}") for k, c in (("raw", F.lit(True)), ("good", F.col("trusted"))) for x in ("repeated", "words")]).first()
+    again, first = weights((t["rawrepeated"], t["rawwords"]), (t["goodrepeated"], t["goodwords"]))
+    llr = F.when(F.col("words") > 0, (F.col("repeated") * F.lit(again) + (F.col("words") - F.col("repeated")) * F.lit(first)) / F.col("words"))
+    threshold, slack = share * again + (1 - share) * first, 1e-9 * abs(again - first)
+    below = F.col("llr") <= threshold + slack if again <= first else F.col("llr") >= threshold - slack
+    return m.select("doc_id", "words", "repeated", F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(0.0).alias("share"), llr.alias("llr")).withColumn("flagged", F.coalesce(below, F.lit(False)))

@@ -39,6 +39,23 @@ def test_cut_falls_into_the_valley():
     assert whole and spans[0][1] in (len(a) * 18 - 1, len(a) * 18)
 
 
+def test_depth_climbs_to_the_nearest_peak():
+    sim = np.array([0.9, 0.5, 0.7, 0.2, 0.1, 0.3, 0.3, 0.8, 0.6])
+    assert np.allclose(segment.climb(sim), [0.9, 0.9, 0.7, 0.7, 0.7, 0.3, 0.3, 0.8, 0.8])
+    depth = (segment.climb(sim) - sim) + (segment.climb(sim[::-1])[::-1] - sim)
+    assert depth.argmax() == 4 and depth[7] == 0  # a peak is no valley, a far higher peak does not count
+
+
+def test_ends_of_pieces(spark):
+    text = "Prima frase. " + "parola " * 160 + "fine. " + "altra " * 150 + "fine."
+    df = spark.createDataFrame([("text", "a", text, None), ("evidence", "b", None, ["x_definition_1"] * 10 + ["x_passage_1"] * 10)], "src string, item_key string, text string, ids array<string>")
+    got = segment.split_oversized(df).orderBy("src", "piece").collect()
+    for r in got:
+        edge = segment.boundaries(text) + [len(text)] if r.src == "text" else [10, 20]
+        assert r.ends == ("natural" if r.end in edge else "forced")
+    assert {(r.src, r.cut) for r in got} == {("text", "natural"), ("evidence", "natural")}
+
+
 def test_split_ids():
     ids = [f"doc_1_definition_{i}" for i in range(8)] + [f"doc_1_passage_{i}" for i in range(9)]
     spans, whole = segment.split_ids(ids)
@@ -87,10 +104,23 @@ def test_repetition_against_brute_force(spark):
     for i, t in enumerate(texts):
         ws = [w.casefold() for w in K.LETTERS.findall(t or "")]
         assert (got[i].words, got[i].repeated) == (len(ws), brute_repeated(ws))
-        assert not (got[i].share >= 0.4 and not got[i].candidate)
+        assert got[i].flagged == (len(ws) > 0 and 10 * got[i].repeated >= 4 * got[i].words)
     assert repetition.repetition(df.limit(0)).count() == 0
 
 
+def test_ratio_decides_at_the_threshold(spark):
+    """Ties at 40 %, whatever the trusted documents are like."""
+    texts = ["a b c d e a b c d e f g h i j k l m n o p q r s t", "x y z v w x y z v w u", "q r s t u q r s t u q r s t u 1 2 3", " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(60)), "p q r s t p q r s t b1 c d", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for told in (None, F.col("doc_id") == 3, F.col("doc_id") == 2, F.lit(False), F.lit(None).cast("boolean")):
+        got = {r.doc_id: r for r in repetition.repetition(df, told).collect()}
+        assert all(r.flagged == (r.words > 0 and 10 * r.repeated >= 4 * r.words) for r in got.values())
+    exact = [" ".join(["a b c d e"] * 2 + ["f g"] + [c for c in "hi"]) + " l"]  # 5 of 15 words; then 10 of 25
+    exact.append(" ".join(["a b c d e"] * 3) + " " + " ".join("fghijklmno"))
+    got = [r.flagged for r in repetition.repetition(spark.createDataFrame(list(enumerate(exact)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [False, True]
+
+
 # ---- leakage -------------------------------------------------------------------------------------------------------
 
 VOCAB = [f"parola{i}" for i in range(3000)]
