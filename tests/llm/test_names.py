@@ -201,3 +201,24 @@ def test_canonical_judges_what_shares_common_features_only(spark):
     reg = spark.createDataFrame([(0, "Amministratore", None)] + [(i, f"Amministratore {chr(96 + i % 26 + 1)}{'aeiou'[i % 5]}rz{'aeiou'[i % 3]}", None) for i in range(1, 48)], "id long, name string, acronym string")
     df = spark.createDataFrame([("Amministrtore",)], "value string")
     assert [r.id for r in canonical.map_values(df, reg).collect()] == [0]
+
+
+def test_canonical_in_blocks_and_by_brute_force(spark, data):
+    """Blocks of the list give what the whole list gives, and the index what scoring all entries gives."""
+    reg = spark.read.parquet(f"{data}/agent_registry.parquet").selectExpr("cast(agent_id as long) id", "canonical_agent name", "acronym")
+    rows = canonical.typed_agents(spark.read.parquet(f"{data}/definitions_normalized.parquet"), spark.read.parquet(f"{data}/prompt_blocks.parquet"))
+    one, two = (sorted(canonical.map_values(rows.select("value"), reg, block=b).withColumn("score", F.round("score", 9)).collect(), key=str) for b in (20_000, 40))
+    assert one == two and sum(r.id is not None for r in one) > 100
+    entries = [(r.id, names.parse(r.name), r.acronym) for r in reg.collect()]
+    feats = {i: set(canonical.grams(n)) | ({"#" + a.lower()} if a else set()) for i, n, a in entries}
+    df = {g: sum(g in f for f in feats.values()) for f in feats.values() for g in f}
+    import math
+
+    w = lambda g: math.log(1 + len(entries) / df[g] if g in df else 1 + len(entries)) * (2 if g[0] == "#" else 1)
+    norm = lambda gs: math.sqrt(sum(w(g) ** 2 for g in gs)) or 1.0
+    literal = {r.name for r in reg.collect()}
+    for r in one:
+        if r.id is not None and r.value not in literal:
+            gs = set(canonical.grams(names.parse(r.value)))
+            cos = {i: sum(w(g) ** 2 for g in gs & f) / (norm(gs) * norm(f)) for i, f in feats.items()}
+            assert abs(cos[r.id] - r.score) < 1e-6 and r.score >= canonical.THRESHOLD
