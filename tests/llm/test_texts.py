@@ -244,12 +244,39 @@ def test_mix(spark):
     caps = {"albo_pretorio": 1, "verbali": 3}
     got = out.collect()
     assert len(got) == 602 and all(r.copies <= caps.get(r.source, 0) for r in got)
-    rep = {r.source: r for r in report.collect()}
+    rep = {r.name: r for r in report.collect() if r.kind == "source"}
     assert rep["albo_pretorio"].reached_share == pytest.approx(0.5 / 0.9, abs=0.02) and rep["assente"].reached_share == 0
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df, t)[0].collect()))
     assert mixing.mix(df.limit(0), t)[1].count() == 3 and mixing.mix(df, t.limit(0))[0].where("copies > 0").count() == 0
 
 
+def test_marginals_are_reached_and_reported(spark):
+    rnd = random.Random(4)
+    words = {"it": ("acqua bosco fiume monte", "pane vino olio grano"), "de": ("Wasser Wald Fluss Berg", "Brot Wein Korn Salz")}
+    rows = [(i, " ".join(rnd.choice(words[g][k].split()) for _ in range(50)), s, g) for i in range(1600) for s, g, k in [(rnd.choice("aab"), rnd.choice(["it", "it", "it", "de"]), rnd.randint(0, 1))]]
+    rows += [(9000 + i, "solo una volta", "a", g) for i, g in enumerate(("xa", "xb", "xc"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out, report = mixing.mix(df, spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int"))
+    rep = report.collect()
+    assert {r.kind for r in rep} == {"source", "language", "topic"}
+    for kind, slack in (("source", 0.01), ("language", 0.02), ("topic", 0.04)):
+        mine = [r for r in rep if r.kind == kind]
+        assert sum(r.reached_share for r in mine) == pytest.approx(1) and all(abs(r.reached_share - r.target_share) < slack for r in mine)
+        assert sum(r.documents for r in mine) == len(rows)
+    # a topic holds one subject of one language
+    pure = out.join(df.select("doc_id", "text"), "doc_id").where("doc_id < 9000").select("topic", F.regexp_extract("text", "(?i)(acqua|bosco|fiume|monte|wasser|wald|fluss|berg)", 1).alias("w")).groupBy("topic").agg(F.count_distinct(F.col("w") != "").alias("n")).collect()
+    assert all(r.n == 1 for r in pure) and len(pure) >= 4
+
+
+def test_topics():
+    assert mixing.Topics.fit(np.zeros((3, mixing.WIDTH))).of(np.array([1, 2])) == -1
+    c = np.zeros((40, mixing.WIDTH))
+    for i in range(40):
+        c[i, [5, 6, 7] if i % 2 else [8, 9, 10]] = [3, 1 + i % 3, 2]
+    t = mixing.Topics.fit(c, topics=2)
+    assert t.of(np.array([5, 6])) == t.of(np.array([7] * 9)) != t.of(np.array([9])) and t.of(np.array([], np.int64)) == -1 == t.of(np.array([300]))
+
+
 # ---- scans ---------------------------------------------------------------------------------------------------------
 
 BODY = "Il funzionario registra la domanda con il progressivo 4241 presso lo sportello. La commissione verifica il documento nell'ambito economico-finanziario e archivia la relazione del mercato."
