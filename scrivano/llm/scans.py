@@ -1,37 +1,41 @@
 """Noise in text from scanned pages: divided words, misread glyphs, running headers, page numbers.
 
-Three passes over the lines, each without a shuffle of texts:
-
-1. Word counts of the corpus.  The frequent vocabulary holds the words of relative frequency ``LEAST`` or more, which
-   bounds it to ``1 / LEAST`` words.
-2. Skip-gram vectors of the vocabulary.  Word and context pairs are counted over all texts; the vectors are the rows
-   of the shifted positive PMI matrix, which is what skip-gram with negative sampling factorises, hashed with signs to
-   ``DIM`` dimensions, so that vector(word) . code(context) estimates their association.
-3. Lines are classified.  Page numbers and running headers by form; a bare number that the word before it calls for
-   ("con il progressivo / 415") is text.  A hyphen at a line end divides a word unless the corpus knows the compound
-   and not the joined word.  A rare word is linked to frequent words by plausible glyph edits and corrected to the one
-   its context supports best.
+1. One pass reads all texts and keeps their words as numbers; from it come the counts of words, the pairs of words that
+   stand near each other, and the shapes of lines that may be running headers.  The frequent vocabulary holds the words
+   of relative frequency ``LEAST`` or more, which bounds it to ``1 / LEAST`` words.
+2. Skip-gram vectors of the vocabulary are trained with negative samples on all pairs, word and context vectors in
+   turn: with one side given, each vector of the other is a small logistic regression, solved by Newton steps in
+   parallel.  word . context then estimates by how much the context speaks for the word.
+3. Shapes of running headers are learned: what recurs inside single texts, numbers apart, and interrupts sentences has a
+   shape (runs of words, numbers, punctuation); shapes of which a good part of the lines do so are header shapes
+   wherever they stand.
+4. A second pass classifies the lines.  Page numbers by form; a bare number that the word before it calls for ("con il
+   progressivo / 415") is text.  A hyphen at a line end divides a word unless the corpus knows the compound and not the
+   joined word.  A rare word is linked to frequent words by plausible glyph edits; one of letters only is corrected to
+   the one that its context speaks for (the less is asked of it, the more usual that word is beside it), and stands
+   where it speaks for none.
 
 Reflow then drops the furniture, joins divided words, puts corrections in and joins the lines of a paragraph.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.session import cut
+from scrivano.llm.tokens import word_hash
+from scrivano.session import cut, drop
 
-LEAST, LEAST_COUNT, WINDOW, DIM, SHIFT, RATIO = 1e-5, 4, 2, 64, 1.0, 30
+LEAST, LEAST_COUNT, RATIO = 1e-5, 4, 30
+WINDOW, DIM, ROUNDS, STEPS, NEGATIVES, RIDGE, CLIP, SUPPORT, USUAL = 2, 16, 3, 2, 128, 2.0, 3.0, 1.5, 0.3
+HEADER_RECURS, HEADER_SHARE, HEADER_LENGTH = 2, 0.05, 120
 
 # ---- fixed values: glyphs that scanners confuse, as (read, meant) --------------------------------------------------
 GLYPHS = [
@@ -47,7 +51,6 @@ HYPHENS = "-‐‑­¬"
 
 PAGE = re.compile(r"(?i)^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|p(?:ag|agina|g)?\.?\s*\d{1,4}(?:\s*(?:di|/|su)\s*\d{1,4})?\.?|\d{1,4}\s*/\s*\d{1,4}|\d{1,4}\s+di\s+\d{1,4}|(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*$")
 BARE = re.compile(r"^\s*\d{1,3}\s*$")
-HEADER = re.compile(r"(?i)^\s*(?:(?:pag(?:ina)?\.?\s*)?[\d\[\]()]{1,6}\s*[-–—|]?\s+)?\D*[^\W\d_][^.;:]*\s[–—-]\s[^.;:]*\bn\.\s*\d{1,4}(?:\s*[-–—|]?\s*(?:pag(?:ina)?\.?\s*)?[\d\[\]()]{1,6})?\s*$")
 TOKEN = re.compile(r"(?:[^\W_]+|\\/(?=[^\W\d_]))(?:(?:[@|!$€](?=[^\W\d_])|(?<=[^\W\d_])[@$€]|\\/)[^\W_]*)*|@[^\W_]*")
 CODE = re.compile(r"^(?:[A-Z]{1,4}\d+[A-Z]?|\d+|\d+[°ªº]|[IVXLC]+)$")
 COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+-[^\W\d_]+")
@@ -55,62 +58,179 @@ LIST_ITEM = re.compile(r"^\s*(?:[-–—•*·▪]|\d{1,3}[.)]|[A-Za-z]\))\s")
 TITLE = re.compile(r"^\s*(?:(?:Art\.?\s*)?\d+(?:\.\d+)*\s+[A-ZÀ-Ý]|[A-ZÀ-Ý][A-ZÀ-Ý\s'’]+$)")
 
 
-def code_of(word: str) -> tuple[int, float]:
-    h = xxhash.xxh64_intdigest(word)
-    return h % DIM, 1.0 if (h >> 20) & 1 else -1.0
+# ---- first pass ----------------------------------------------------------------------------------------------------
 
+_SHAPE = re.compile(r"[\w'’]*[^\W\d_][\w'’]*|\d+|[^\w\s]")
+_ODD_LETTERS = str.maketrans("@|!$€", "alise")
+_NO_DIGITS = {c: None for c in map(ord, "0123456789 \t\r–—-|[]().")}
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words, compounds ("a-b") and, as "word #", words that a number follows."""
+
+def may_be_header(line: str) -> str:
+    """The line without outer blanks if it could be a running header by its ends, else ''."""
+    x = line.strip()
+    if not 4 <= len(x) <= HEADER_LENGTH or x[-1] in ".;:,!?" or x[-1] in HYPHENS or not (x[0].isupper() or x[0].isdigit() or x[0] in "[(@|!$€") or LIST_ITEM.match(x):
+        return ""
+    return x
+
+
+def shape(line: str) -> str:
+    """Runs of words as 'A' or 'a' by their first letter, numbers as '#', punctuation as it is."""
+    out: list[str] = []
+    for t in _SHAPE.findall(line.replace("\\/", "v").translate(_ODD_LETTERS)):
+        k = "#" if t.isdigit() else "A" if t[0].isupper() or t[0].isdigit() else "a" if t[0].isalnum() else "–" if t in "–—-" else t
+        if not (k in "aA" and out and out[-1] in "aA"):
+            out.append(k)
+    return "".join(out)
+
+
+def recurring(lines: list[str]) -> dict[int, bool]:
+    """Of the lines that may be headers: does the line, numbers apart, stand in the text more than once?"""
+    keys = {i: x.casefold().translate(_NO_DIGITS) for i, line in enumerate(lines) if (x := may_be_header(line))}
+    n = Counter(keys.values())
+    return {i: n[k] > 1 and len(k) >= 4 for i, k in keys.items()}
+
+
+def _interrupts(lines: list[str], i: int) -> bool:
+    before = next((x for x in reversed(lines[:i]) if x.strip() and not PAGE.match(x) and not BARE.match(x)), "").rstrip()
+    after = next((x for x in lines[i + 1 :] if x.strip() and not PAGE.match(x) and not BARE.match(x)), "").lstrip()
+    return bool(before) and before[-1] not in ".;:!?" and after[:1].islower()
+
+
+READ = "kind int, word string, n long, m long, ids array<long>"
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kind 0: words, compounds ("a-b") and, as "word #", words that a number follows, with their counts.  Kind 1: the
+    words of the texts of a batch by hash, 0 behind each text.  Kind 2: shapes with their lines and recurring lines."""
     for b in batches:
-        c: Counter = Counter()
-        called: Counter = Counter()
+        words, known = [""], {}
+        chunks: dict[str, list[int]] = {}
+        count: Counter = Counter()
+        shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        ids: list[int] = []
         for t in b["text"]:
-            low = t.casefold()
-            toks = TOKEN.findall(low)
-            c.update(toks)
-            called.update([toks[i - 1] for i, w in enumerate(toks) if w.isdigit() and i])
-            if "-" in low:
-                c.update(COMPOUND.findall(low))
-        words = {w: n for w, n in c.items() if not w.isdigit()} | {w + " #": n for w, n in called.items() if not w.isdigit()}
-        yield pd.DataFrame({"word": list(words), "n": np.fromiter(words.values(), np.int64, len(words))})
+            parts = t.casefold().split()
+            count.update(parts)
+            for p in parts:
+                if p not in chunks:
+                    chunks[p] = [known.setdefault(w, len(known) + 1) for w in TOKEN.findall(p)]
+            ids.extend(i for p in parts for i in chunks[p])
+            ids.append(0)
+            lines = t.split("\n")
+            for i, again in recurring(lines).items():
+                s = shapes[shape(lines[i])]
+                s[0] += 1
+                s[1] += again and _interrupts(lines, i)
+        words += known
+        stream = np.asarray(ids, np.int64)
+        number = np.fromiter((w.isdigit() for w in words), bool, len(words))
+        total = np.bincount(stream, minlength=len(words))
+        called = np.bincount(stream[:-1][number[stream[1:]]], minlength=len(words)) if len(stream) else total
+        rows = [(0, w, int(n), 0, None) for w, n, d in zip(words[1:], total[1:], number[1:]) if not d]
+        rows += [(0, words[i] + " #", int(called[i]), 0, None) for i in np.flatnonzero(called) if i and not number[i]]
+        pairs: Counter = Counter()
+        for p, n in count.items():
+            if "-" in p:
+                for x in COMPOUND.findall(p):
+                    pairs[x] += n
+        rows += [(0, x, n, 0, None) for x, n in pairs.items()]
+        rows += [(2, k, n, m, None) for k, (n, m) in shapes.items()]
+        hashes = np.array([0, *map(word_hash, words[1:])], np.uint64).view(np.int64)
+        yield pd.DataFrame([*rows, (1, None, 0, 0, hashes[stream])], columns=["kind", "word", "n", "m", "ids"])
+
+
+def _pairs(hashes: np.ndarray):
+    """Pairs of vocabulary words within the window, by position in the sorted ``hashes``."""
+    size = len(hashes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids in b["ids"]:
+                at = np.minimum(np.searchsorted(hashes, ids), size - 1)
+                a = np.where(hashes[at] == ids, at, -1)
+                keys = []
+                for k in range(1, WINDOW + 1):
+                    x, y = a[:-k], a[k:]
+                    ok = (x >= 0) & (y >= 0)
+                    if k == 2:  # not over the end of a text
+                        ok &= ids[1:-1] != 0
+                    keys += [x[ok] * size + y[ok], y[ok] * size + x[ok]]
+                u, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pd.DataFrame({"w": (u // size).astype(np.int32), "c": (u % size).astype(np.int32), "n": n})
+
+    return run
+
+
+# ---- skip-gram vectors ---------------------------------------------------------------------------------------------
+
+
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Ridge logistic regression of ``y`` on the rows of ``x``."""
+    v = start.astype(np.float64)
+    eye = RIDGE * np.eye(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        h = (x * (weight * np.maximum(p * (1 - p), 0.02))[:, None]).T @ x + eye
+        v += np.linalg.solve(h, x.T @ (weight * (y - p)) - RIDGE * v)
+    return v.astype(np.float32)
 
 
-def _pairs(index: dict[str, int]):
-    size = len(index)
+def _half_round(fixed: np.ndarray, moving: np.ndarray, negatives: np.ndarray):
+    """The vectors of one side by those of the other: ``w, v`` from ``w, cs, ns``."""
+    neg = fixed[negatives]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids: list[int] = []
-            for t in b["text"]:
-                ids.extend(index.get(w, -1) for w in TOKEN.findall(t.casefold()))
-                ids.extend([-1] * WINDOW)
-            a = np.asarray(ids, np.int64)
-            keys = []
-            for k in range(1, WINDOW + 1):
-                x, y = a[:-k], a[k:]
-                ok = (x >= 0) & (y >= 0)
-                keys += [x[ok] * size + y[ok], y[ok] * size + x[ok]]
-            u, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"w": (u // size).astype(np.int32), "c": (u % size).astype(np.int32), "n": n})
+            out = []
+            for w, cs, ns in zip(b["w"], b["cs"], b["ns"]):
+                n = float(np.sum(ns))
+                x = np.concatenate([fixed[cs], neg]).astype(np.float64)
+                y = np.r_[np.ones(len(cs)), np.zeros(len(neg))]
+                out.append(newton(x, y, np.r_[np.asarray(ns, float), np.full(len(neg), n / len(neg))], moving[w]))
+            yield pd.DataFrame({"w": b["w"], "v": out})
 
     return run
 
 
-class Model:
-    """Vocabulary, vectors and the linking of rare words; bounded by ``1 / LEAST`` words."""
+def train(pairs: DataFrame, size: int, rounds: int = ROUNDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Word and context vectors of ``size`` words from ``pairs(w, c, n)``, symmetric.  Both matrices are bounded by the
+    vocabulary; negatives are drawn by frequency."""
+    lists = cut(pairs.groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("l"), F.sum("n").alias("t")).select("w", F.col("l.c").alias("cs"), F.col("l.n").alias("ns"), "t"))
+    rnd = np.random.default_rng(seed)
+    u, c = np.zeros((size, DIM), np.float32), rnd.normal(0, 1 / DIM**0.5, (size, DIM)).astype(np.float32)
+    t = lists.select("w", "t").toPandas()
+    if len(t):
+        share = np.zeros(size)
+        share[t["w"]] = t["t"] / t["t"].sum()
+        for k in range(2 * rounds):
+            fixed, moving = (c, u) if k % 2 == 0 else (u, c)
+            got = lists.select("w", "cs", "ns").mapInPandas(_half_round(fixed, moving, rnd.choice(size, NEGATIVES, p=share)), "w int, v array<float>").toPandas().sort_values("w")
+            moving[got["w"].to_numpy()] = np.stack(got["v"].to_numpy())
+    drop(lists)
+    return u, c
+
 
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], total: int):
-        self.counts, self.vectors, self.total = counts, vectors, total
+class Model:
+    """Vocabulary, vectors, header shapes and the linking of rare words; bounded by ``1 / LEAST`` words."""
+
+    def __init__(self, counts: dict[str, int], index: dict[str, int] | None = None, vectors: tuple[np.ndarray, np.ndarray] | None = None, shapes: frozenset[str] = frozenset()):
+        self.counts, self.index, self.shapes = counts, index or {}, shapes
+        self.u, self.c = vectors or (np.zeros((0, DIM)), np.zeros((0, DIM)))
+        self.rare: dict[str, int] = {}  # counts of rarer words that are usual beside their glyph neighbours
+        self.most = max(counts.values(), default=0)
+        self.longest = max(map(len, counts), default=0)
         self.memo: dict[str, list[tuple[str, int]]] = {}
         self.good: set[str] = set()
+        self.fine: set[str] = set()
 
     def variants(self, w: str) -> list[tuple[str, int]]:
-        """Frequent words one or two glyph edits from ``w``, with the position of the first edit."""
+        """Frequent words one glyph edit from ``w``, or else two, with the position of the first edit."""
         if w in self.memo:
             return self.memo[w]
         found, front = {}, {w: 99}
         for _ in range(2):
+            if len(w) > self.longest + 2:  # an edit takes one letter at most
+                break
             step: dict[str, int] = {}
             for x, at in front.items():
                 for read, meant in GLYPHS:
@@ -122,12 +242,19 @@ class Model:
             found = {y: p for y, p in step.items() if y != w and self.counts.get(y, 0) >= LEAST_COUNT}
             if found:
                 break
-            front = step if len(step) < 400 else {}
+            front = step
         out = sorted(found.items())
         if len(self.memo) < 300_000:
             self.memo[w] = out
         return out
 
+    def own(self, x: str) -> int:
+        return self.counts.get(x) or self.rare.get(x, 0)
+
+    def usual(self, x: str) -> bool:
+        """Among the most usual words of the corpus."""
+        return self.counts.get(x, 0) * 50 >= self.most + 50
+
     def stands(self, w: str) -> bool:
         """No context can make ``w`` (as written) a misread word."""
         x = w.casefold()
@@ -135,73 +262,89 @@ class Model:
             return w != "1"
         if any(c in ODD or c in LIGATURES for c in w):
             return False
-        own = self.counts.get(x, 0)
-        return own * 50 >= self.counts.get("di", 0) + 50 or all(self.counts[v] < RATIO * max(own, 1) for v, _ in self.variants(x))
+        return self.usual(x) or all(self.counts[v] < RATIO * max(self.own(x), 1) for v, _ in self.variants(x))
 
-    def clean(self, words: list[str]) -> bool:
-        """All words stand; what was found out is kept."""
-        if self.good.issuperset(words):
+    def good_word(self, w: str) -> bool:
+        if w in self.good:
+            return True
+        ok = self.stands(w)
+        if ok and len(self.good) < 300_000:
+            self.good.add(w)
+        return ok
+
+    def clean(self, parts: list[str]) -> bool:
+        """All words of the blank-separated parts of a line stand; what was found out is kept."""
+        if self.fine.issuperset(parts):
             return True
         ok = True
-        for w in words:
-            if w not in self.good:
-                if self.stands(w):
-                    if len(self.good) < 500_000:
-                        self.good.add(w)
+        for p in parts:
+            if p not in self.fine:
+                if p[-1] != "'" and all(map(self.good_word, TOKEN.findall(p))):
+                    if len(self.fine) < 300_000:
+                        self.fine.add(p)
                 else:
                     ok = False
         return ok
 
+    def support(self, v: str, context: list[str]) -> float:
+        """How far the context speaks for a word."""
+        i = self.index.get(v)
+        at = [self.index[c] for c in context if c in self.index]
+        return float(np.clip(self.c[at] @ self.u[i], -CLIP, CLIP).sum()) if i is not None and at else 0.0
+
     def correct(self, w: str, context: list[str]) -> tuple[str, int] | None:
         """The frequent word that ``w`` misreads, in its context, and the position of the edit; None if it stands."""
-        own = self.counts.get(w, 0)
+        own = max(self.own(w), 1)
         mixed = any(c in ODD for c in w)
         best = None
         for v, p in self.variants(w):
             n = self.counts[v]
-            if n < RATIO * max(own, 1) * (0.2 if mixed else 1):
+            if n < RATIO * own * (0.2 if mixed else 1):
                 continue
-            ctx = 0.0
-            vec = self.vectors.get(v)
-            if vec is not None:
-                for c in context:
-                    d, s = code_of(c)
-                    ctx += float(vec[d]) * s
-            score = math.log(n) + ctx
-            # a word of letters only needs support: from its context, or by being far more usual
-            if not mixed and ctx <= 0.5 and n < 4 * RATIO * max(own, 1) and len(w) < 6:
+            speaks = self.support(v, context)
+            if not mixed and speaks + USUAL * np.log(n / (RATIO * own)) < SUPPORT:
                 continue
-            if best is None or score > best[0]:
-                best = (score, v, p)
-        if best:
-            return best[1], best[2]
-        return None
+            if best is None or np.log(n) + speaks > best[0]:
+                best = (np.log(n) + speaks, v, p)
+        return best[1:] if best else None
+
+
+def _standing(m: Model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = [bool(v := m.variants(w)) and all(m.counts[x] < RATIO * n for x, _ in v) for w, n in zip(b["word"], b["n"])]
+            yield b[np.array(keep, bool)]
+
+    return run
 
 
 def learn(texts: DataFrame) -> Model:
     """Fit the model on all of ``texts(text)``, nulls apart."""
-    t = texts.where("text is not null").select("text")
-    words = cut(t.mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    read = cut(texts.where("text is not null").select("text").mapInPandas(_read, READ))
+    words = cut(read.where("kind = 0").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.where("not contains(word, ' ') and not contains(word, '-')").agg(F.sum("n")).first()[0] or 0
     floor = max(LEAST_COUNT, LEAST * total)
     vocab = {r["word"]: r["n"] for r in words.where(F.col("n") >= floor).toLocalIterator()}  # at most a few / LEAST
-    plain = [w for w in vocab if " " not in w and "-" not in w]
-    names = sorted(plain)
-    index = {w: i for i, w in enumerate(names)}
-    vectors: dict[str, np.ndarray] = {}
-    if names and total:
-        pairs = t.mapInPandas(_pairs(index), "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
-        spark = texts.sparkSession
-        meta = spark.createDataFrame([(i, vocab[w], *code_of(w)) for i, w in enumerate(names)], "c int, cn long, dim int, sign double")
-        left = meta.select(F.col("c").alias("w"), F.col("cn").alias("wn"))
-        pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("wn") * F.col("cn") * F.lit(2.0 * WINDOW))) - F.lit(math.log(SHIFT))
-        sk = pairs.join(F.broadcast(meta), "c").join(F.broadcast(left), "w").withColumn("x", F.greatest(pmi, F.lit(0.0)) * F.col("sign")).groupBy("w", "dim").agg(F.sum("x").alias("x"))
-        mat = np.zeros((len(names), DIM), np.float32)
-        for r in sk.groupBy("w").agg(F.collect_list(F.struct("dim", "x")).alias("v")).toLocalIterator():
-            for x in r["v"]:
-                mat[r["w"], x["dim"]] = x["x"]
-        vectors = {w: mat[i] for w, i in index.items()}
-    return Model(vocab, vectors, total)
+    plain = sorted((np.uint64(word_hash(w)).astype(np.int64), w) for w in vocab if " " not in w and "-" not in w)
+    index = {w: i for i, (_, w) in enumerate(plain)}
+    lines = read.where("kind = 2").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    least = max(HEADER_RECURS, LEAST * (lines.agg(F.sum("n")).first()[0] or 0))  # so at most 1 / LEAST shapes
+    # words alone are no shape to know a header by
+    shapes = frozenset(r["word"] for r in lines.where((F.length("word") >= 3) & (F.col("m") >= least) & (F.col("m") >= HEADER_SHARE * F.col("n"))).collect())
+    vectors = None
+    if plain:
+        near = read.where("kind = 1").select("ids").mapInPandas(_pairs(np.array([h for h, _ in plain], np.int64)), "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
+        vectors = train(near, len(plain))
+    m = Model(vocab, index, vectors, shapes)
+    # a word that stands below the vocabulary has neighbours of less than RATIO times the floor: few words, few edits
+    below = words.where((F.col("n") >= max(2.0, floor / RATIO)) & (F.col("n") < floor) & ~F.col("word").contains(" ") & ~F.col("word").contains("-"))
+    m.rare = {r["word"]: r["n"] for r in below.mapInPandas(_standing(m), "word string, n long").toLocalIterator()}
+    m.memo = {}
+    drop(read, words)
+    return m
+
+
+# ---- second pass ---------------------------------------------------------------------------------------------------
 
 
 def _is_page(line: str, before: str, m: Model) -> bool:
@@ -219,6 +362,15 @@ def _is_page(line: str, before: str, m: Model) -> bool:
     return not (n and m.counts.get(w + " #", 0) >= 0.3 * n)
 
 
+def _headers(lines: list[str], m: Model) -> set[int]:
+    """Lines of a learned header shape, and lines that recur in the text and interrupt a sentence."""
+    out = set()
+    for i, again in recurring(lines).items():
+        if shape(lines[i]) in m.shapes or again and _interrupts(lines, i):
+            out.add(i)
+    return out
+
+
 def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, list[tuple[int, int, str]]], dict[int, bool]]:
     """Lines, their noise, corrections by line as (start, end, word), and for lines ending in a hyphen whether the
     word goes on without it."""
@@ -227,11 +379,12 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
     fixes: dict[int, list[tuple[int, int, str]]] = {}
     joins: dict[int, bool] = {}
     last = ""
+    heads = _headers(lines, m)
     for i, line in enumerate(lines):
-        if ("–" in line or "—" in line or " - " in line) and HEADER.match(line):
-            noise[i].add("header")
-        elif len(line) <= 32 and _is_page(line, last, m):
+        if len(line) <= 32 and _is_page(line, last, m):
             noise[i].add("page")
+        elif i in heads:
+            noise[i].add("header")
         elif line.strip():
             last = line
     body = [i for i, line in enumerate(lines) if line.strip() and not noise[i]]
@@ -240,7 +393,7 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
         line = lines[i]
         bare = line.rstrip()
         tail = len(bare) > 1 and bare[-1] in HYPHENS and (bare[-2].isalnum() or bare[-2] in "@$€")
-        if not tail and not skip_first and "' " not in line and bare[-1] != "'" and m.clean(TOKEN.findall(line)):
+        if not tail and not skip_first and m.clean(line.split()):
             continue
         toks = [(x.start(), x.end(), x[0]) for x in TOKEN.finditer(line)]
         nxt = body[k + 1] if k + 1 < len(body) else None
@@ -269,10 +422,9 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
                             elif hit:
                                 fixes.setdefault(nxt, []).append((right.start(), right.end(), v[len(l) :]))
         low = [w.casefold() for _, _, w in toks]
-        m.clean([w for _, _, w in toks[start:stop]])
         for j in range(start, stop):
             s, e, w = toks[j]
-            if w in m.good and line[e : e + 1] != "'":
+            if line[e : e + 1] != "'" and m.good_word(w):
                 continue
             if CODE.match(w):
                 if w == "1" and line[e : e + 1] in "'’" and line[e + 1 : e + 2].isalpha():
@@ -291,8 +443,8 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
                     fixes.setdefault(i, []).append((s, e + 1, _cased(w, full)))
                     continue
             mixed = any(c in ODD for c in x)
-            if not mixed and m.counts.get(x, 0) * 50 >= m.counts.get("di", 0) + 50:
-                continue  # among the most usual words
+            if not mixed and m.usual(x):
+                continue
             hit = m.correct(x, low[max(0, j - WINDOW) : j] + low[j + 1 : j + 1 + WINDOW])
             if hit:
                 noise[i].add("ocr")

@@ -285,6 +285,8 @@ BODY = "Il funzionario registra la domanda con il progressivo 4241 presso lo spo
 @pytest.fixture(scope="module")
 def model(spark):
     rows = [(BODY,)] * 60 + [("Il dipartimento tecnico tutela la tettoia con il progressivo 12.",)] * 60 + [(None,), ("",)]
+    for i in range(6):  # scans of several pages, each with its running header
+        rows += [("\n".join(f"{BODY[:60]}\nFoglio del mercato – Salzuvra n. {40 + i}{f' {p}' if i % 2 else ''}\n{BODY[61:]}" for p in range(3)),)]
     return scans.learn(spark.createDataFrame(rows, "text string"))
 
 
@@ -300,6 +302,42 @@ def test_noise(model, text, want):
     assert [(i, k) for i, s in enumerate(scans.inspect(text, model)[1]) for k in sorted(s)] == want
 
 
+def test_other_header_shapes(spark):
+    """Headers are learned from what recurs: other furniture, another language, no number, one that stands once."""
+    body = ["the clerk registers the request with the\nnumber 17 and sends the copy", "to the office of the lake. The board\nverifies the document and", "files the report of the market"]
+    rows = []
+    for i in range(12):
+        name = ["Lake Council", "Hill Board", "Port Office", "Mill Trust"][i % 4]
+        rows.append((str(i), "\n".join(f"{body[k % 3]}\n{name} * Minutes {i} * {k}" for k in range(4)) + "\nuntil the end.\nFees and charges\nThe clerk pays."))
+        rows.append((f"n{i}", "\n".join(f"{b}\n{name} Annual Review" for b in body[:2]) + "\n" + body[2] + "."))
+    rows.append(("once", f"{body[0]}\nPort Office * Minutes 31 * 2\n{body[1]}\n{body[2]}."))
+    df = spark.createDataFrame(rows, "item_key string, text string").withColumn("src", F.lit("s"))
+    got = {(r.item_key, r.line_no) for r in scans.noisy_lines(df).where("noise = 'header'").collect()}
+    want = {(k, i) for k, t in rows for i, x in enumerate(t.split("\n")) if "* Minutes" in x or "Annual Review" in x}
+    assert got == want
+
+
+def test_newton_finds_the_association():
+    rnd = np.random.default_rng(3)
+    x = np.concatenate([np.eye(4)[[0, 1]], np.eye(4)])
+    v = scans.newton(x, np.r_[1, 1, 0, 0, 0, 0], np.r_[80.0, 2.0, 10.0, 10.0, 10.0, 10.0], np.zeros(4), 30)
+    assert v[0] > 1.5 and v[2] < -1 and v[3] < -1 and v[0] > v[1] > v[2]
+
+
+def test_vectors_decide_by_context(spark):
+    """Of two readings the context chooses; a rare word in a context that speaks for no reading stands."""
+    rows = ["la barca porta pesce fresco dal lago"] * 80 + ["la banca presta denaro contro un pegno"] * 80 + ["il vento muove le foglie del parco"] * 40
+    m = scans.learn(spark.createDataFrame([(r,) for r in rows], "text string"))
+    assert m.support("barca", ["porta", "pesce"]) > 0.5 > m.support("banca", ["porta", "pesce"])
+    assert m.support("banca", ["presta", "denaro"]) > 0.5 > m.support("barca", ["presta", "denaro"])
+    assert m.correct("barea", ["la", "porta", "pesce"])[0] == "barca" and m.correct("barea", ["muove", "foglie"]) is None
+
+
+def test_long_words_have_no_cut_off(model):
+    w = "x" * 100_000
+    assert model.variants(w) == [] and model.variants("c0mmissi0ne") == [("commissione", 1)]
+
+
 def test_reflow(model):
     t = "Il funzio-\nnario registra la do-\nFoglio del mercato – Salzuvra n. 45\n— 7 —\nmanda con il\nprogressivo 12.\n\n- la commissi0ne verifica\nil documento\n- archivia"
     assert scans.reflow(t, model) == "Il funzionario registra la domanda con il progressivo 12.\n- la commissione verifica il documento\n- archivia"
