@@ -47,6 +47,7 @@ ODD = "@|!$€0123456789\\åäöı"
 LIGATURES = "ﬀﬁﬂﬃﬄ"
 ACCENTED = {"a": "à", "e": "èé", "i": "ì", "o": "ò", "u": "ù"}
 HYPHENS = "-‐‑­¬"
+ENDINGS = HYPHENS + "'"
 # -------------------------------------------------------------------------------------------------------------------
 
 PAGE = re.compile(r"(?i)^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|p(?:ag|agina|g)?\.?\s*\d{1,4}(?:\s*(?:di|/|su)\s*\d{1,4})?\.?|\d{1,4}\s*/\s*\d{1,4}|\d{1,4}\s+di\s+\d{1,4}|(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*$")
@@ -86,6 +87,8 @@ def shape(line: str) -> str:
 def recurring(lines: list[str]) -> dict[int, bool]:
     """Of the lines that may be headers: does the line, numbers apart, stand in the text more than once?"""
     keys = {i: x.casefold().translate(_NO_DIGITS) for i, line in enumerate(lines) if (x := may_be_header(line))}
+    if len(set(keys.values())) == len(keys):
+        return dict.fromkeys(keys, False)
     n = Counter(keys.values())
     return {i: n[k] > 1 and len(k) >= 4 for i, k in keys.items()}
 
@@ -99,64 +102,94 @@ def _interrupts(lines: list[str], i: int) -> bool:
 READ = "kind int, word string, n long, m long, ids array<long>"
 
 
+def _expand(of: list[list[int]], ids: np.ndarray) -> np.ndarray:
+    """The concatenation of ``of[i]`` for all of ``ids``."""
+    size = np.fromiter(map(len, of), np.int64, len(of))
+    flat = np.fromiter((x for one in of for x in one), np.int64, int(size.sum()))
+    start, n = (np.cumsum(size) - size)[ids], size[ids]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))]
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Kind 0: words, compounds ("a-b") and, as "word #", words that a number follows, with their counts.  Kind 1: the
-    words of the texts of a batch by hash, 0 behind each text.  Kind 2: shapes with their lines and recurring lines."""
+    words of the texts of a batch by hash, 0 behind each text.  Kind 2: shapes, in texts in which some line recurs and
+    interrupts, with their lines and lines that do so."""
     for b in batches:
-        words, known = [""], {}
-        chunks: dict[str, list[int]] = {}
-        count: Counter = Counter()
+        known: dict[str, int] = {"": 0}
+        chunks: dict[str, int] = {"": 0}  # blank-separated parts and their words
+        inside, pairs = [[0]], {}
         shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         ids: list[int] = []
         for t in b["text"]:
             parts = t.casefold().split()
-            count.update(parts)
-            for p in parts:
-                if p not in chunks:
-                    chunks[p] = [known.setdefault(w, len(known) + 1) for w in TOKEN.findall(p)]
-            ids.extend(i for p in parts for i in chunks[p])
+            for p in set(parts).difference(chunks):
+                chunks[p] = len(inside)
+                inside.append([known.setdefault(w, len(known)) for w in TOKEN.findall(p)])
+                if "-" in p and (found := COMPOUND.findall(p)):
+                    pairs[chunks[p]] = found
+            ids.extend(map(chunks.__getitem__, parts))
             ids.append(0)
             lines = t.split("\n")
-            for i, again in recurring(lines).items():
+            again = recurring(lines)
+            furniture = {i for i, twice in again.items() if twice and _interrupts(lines, i)}
+            for i in again if furniture else ():
                 s = shapes[shape(lines[i])]
                 s[0] += 1
-                s[1] += again and _interrupts(lines, i)
-        words += known
+                s[1] += i in furniture
         stream = np.asarray(ids, np.int64)
-        number = np.fromiter((w.isdigit() for w in words), bool, len(words))
+        chunk_n = np.bincount(stream, minlength=len(inside))
+        stream = _expand(inside, stream)
+        words = np.array(list(known), object)
+        number = np.fromiter((w.isdigit() for w in known), bool, len(words))
+        number[0] = True  # the end of a text
         total = np.bincount(stream, minlength=len(words))
-        called = np.bincount(stream[:-1][number[stream[1:]]], minlength=len(words)) if len(stream) else total
-        rows = [(0, w, int(n), 0, None) for w, n, d in zip(words[1:], total[1:], number[1:]) if not d]
-        rows += [(0, words[i] + " #", int(called[i]), 0, None) for i in np.flatnonzero(called) if i and not number[i]]
-        pairs: Counter = Counter()
-        for p, n in count.items():
-            if "-" in p:
-                for x in COMPOUND.findall(p):
-                    pairs[x] += n
-        rows += [(0, x, n, 0, None) for x, n in pairs.items()]
-        rows += [(2, k, n, m, None) for k, (n, m) in shapes.items()]
+        called = np.bincount(stream[:-1][number[stream[1:]] & (stream[1:] > 0)], minlength=len(words))
+        plain, before = np.flatnonzero(~number), np.flatnonzero((called > 0) & ~number)
+        compounds: Counter = Counter()
+        for i, found in pairs.items():
+            for x in found:
+                compounds[x] += int(chunk_n[i])
         hashes = np.array([0, *map(word_hash, words[1:])], np.uint64).view(np.int64)
-        yield pd.DataFrame([*rows, (1, None, 0, 0, hashes[stream])], columns=["kind", "word", "n", "m", "ids"])
+        names = [*words[plain], *(words[before] + " #"), *compounds, *shapes, None]
+        counts = [*total[plain], *called[before], *compounds.values(), *(n for n, _ in shapes.values()), 0]
+        m = np.zeros(len(names), np.int64)
+        kind = np.zeros(len(names), np.int32)
+        if shapes:
+            m[-1 - len(shapes) : -1] = [k for _, k in shapes.values()]
+            kind[-1 - len(shapes) : -1] = 2
+        kind[-1] = 1
+        yield pd.DataFrame({"kind": kind, "word": names, "n": np.array(counts, np.int64), "m": m, "ids": [None] * (len(names) - 1) + [hashes[stream]]})
+
+
+MOST_KEYS = 6_000_000  # pairs held before they are counted
 
 
 def _pairs(hashes: np.ndarray):
-    """Pairs of vocabulary words within the window, by position in the sorted ``hashes``."""
+    """Pairs (word, later word) of the vocabulary within the window, by position in the sorted ``hashes``."""
     size = len(hashes)
 
+    def count(keys: list[np.ndarray]) -> pd.DataFrame:
+        u, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pd.DataFrame({"w": (u // size).astype(np.int32), "c": (u % size).astype(np.int32), "n": n})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[np.ndarray] = []
         for b in batches:
             for ids in b["ids"]:
                 at = np.minimum(np.searchsorted(hashes, ids), size - 1)
                 a = np.where(hashes[at] == ids, at, -1)
-                keys = []
                 for k in range(1, WINDOW + 1):
                     x, y = a[:-k], a[k:]
                     ok = (x >= 0) & (y >= 0)
-                    if k == 2:  # not over the end of a text
-                        ok &= ids[1:-1] != 0
-                    keys += [x[ok] * size + y[ok], y[ok] * size + x[ok]]
-                u, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pd.DataFrame({"w": (u // size).astype(np.int32), "c": (u % size).astype(np.int32), "n": n})
+                    for j in range(1, k):  # not over the end of a text
+                        ok &= ids[j : j - k] != 0
+                    keys.append(x[ok] * size + y[ok])
+                if sum(map(len, keys)) > MOST_KEYS:
+                    yield count(keys)
+                    keys = []
+        if keys:
+            yield count(keys)
 
     return run
 
@@ -193,9 +226,10 @@ def _half_round(fixed: np.ndarray, moving: np.ndarray, negatives: np.ndarray):
 
 
 def train(pairs: DataFrame, size: int, rounds: int = ROUNDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Word and context vectors of ``size`` words from ``pairs(w, c, n)``, symmetric.  Both matrices are bounded by the
-    vocabulary; negatives are drawn by frequency."""
-    lists = cut(pairs.groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("l"), F.sum("n").alias("t")).select("w", F.col("l.c").alias("cs"), F.col("l.n").alias("ns"), "t"))
+    """Word and context vectors of ``size`` words from ``pairs(w, c, n)``, each standing for both directions.  Both
+    matrices are bounded by the vocabulary; negatives are drawn by frequency."""
+    both = pairs.select("n", F.explode(F.array(F.struct("w", "c"), F.struct(F.col("c").alias("w"), F.col("w").alias("c")))).alias("x")).select("x.*", "n")
+    lists = cut(both.groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("l"), F.sum("n").alias("t")).select("w", F.col("l.c").alias("cs"), F.col("l.n").alias("ns"), "t"))
     rnd = np.random.default_rng(seed)
     u, c = np.zeros((size, DIM), np.float32), rnd.normal(0, 1 / DIM**0.5, (size, DIM)).astype(np.float32)
     t = lists.select("w", "t").toPandas()
@@ -215,11 +249,13 @@ class Model:
 
     def __init__(self, counts: dict[str, int], index: dict[str, int] | None = None, vectors: tuple[np.ndarray, np.ndarray] | None = None, shapes: frozenset[str] = frozenset()):
         self.counts, self.index, self.shapes = counts, index or {}, shapes
+        self.tails = {k for x in shapes for k in ("aA" if x[-1] in "aA" else "0" if x[-1] == "#" else "-–—" if x[-1] == "–" else x[-1])}
         self.u, self.c = vectors or (np.zeros((0, DIM)), np.zeros((0, DIM)))
         self.rare: dict[str, int] = {}  # counts of rarer words that are usual beside their glyph neighbours
         self.most = max(counts.values(), default=0)
         self.longest = max(map(len, counts), default=0)
         self.memo: dict[str, list[tuple[str, int]]] = {}
+        self.near: dict[tuple[int, int], float] = {}
         self.good: set[str] = set()
         self.fine: set[str] = set()
 
@@ -272,14 +308,20 @@ class Model:
             self.good.add(w)
         return ok
 
+    def ends_so(self, last: str) -> bool:
+        """Can a line that ends in this letter have a header's shape?  Words may end in digits."""
+        return ("0" if last.isdigit() else "a" if last.isalpha() else last) in self.tails or (last.isdigit() and "a" in self.tails)
+
     def clean(self, parts: list[str]) -> bool:
-        """All words of the blank-separated parts of a line stand; what was found out is kept."""
+        """All words of the blank-separated parts of a line stand and none ends in a hyphen or apostrophe; what was found
+        out is kept."""
         if self.fine.issuperset(parts):
             return True
         ok = True
         for p in parts:
             if p not in self.fine:
-                if p[-1] != "'" and all(map(self.good_word, TOKEN.findall(p))):
+                words = TOKEN.findall(p)  # a 1 may be a misread l before an apostrophe only
+                if not words or p[-1] not in ENDINGS and "1'" not in p and "1’" not in p and all(w == "1" or self.good_word(w) for w in words):
                     if len(self.fine) < 300_000:
                         self.fine.add(p)
                 else:
@@ -288,9 +330,19 @@ class Model:
 
     def support(self, v: str, context: list[str]) -> float:
         """How far the context speaks for a word."""
-        i = self.index.get(v)
-        at = [self.index[c] for c in context if c in self.index]
-        return float(np.clip(self.c[at] @ self.u[i], -CLIP, CLIP).sum()) if i is not None and at else 0.0
+        i, total = self.index.get(v), 0.0
+        if i is None:
+            return total
+        for c in context:
+            j = self.index.get(c)
+            if j is not None:
+                x = self.near.get((i, j))
+                if x is None:
+                    x = max(-CLIP, min(CLIP, float(self.c[j] @ self.u[i])))
+                    if len(self.near) < 300_000:
+                        self.near[i, j] = x
+                total += x
+        return total
 
     def correct(self, w: str, context: list[str]) -> tuple[str, int] | None:
         """The frequent word that ``w`` misreads, in its context, and the position of the edit; None if it stands."""
@@ -366,7 +418,7 @@ def _headers(lines: list[str], m: Model) -> set[int]:
     """Lines of a learned header shape, and lines that recur in the text and interrupt a sentence."""
     out = set()
     for i, again in recurring(lines).items():
-        if shape(lines[i]) in m.shapes or again and _interrupts(lines, i):
+        if m.ends_so(lines[i].rstrip()[-1]) and shape(lines[i]) in m.shapes or again and _interrupts(lines, i):
             out.add(i)
     return out
 
@@ -391,18 +443,18 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
     skip_first = False
     for k, i in enumerate(body):
         line = lines[i]
+        if not skip_first and m.clean(line.split()):
+            continue
         bare = line.rstrip()
         tail = len(bare) > 1 and bare[-1] in HYPHENS and (bare[-2].isalnum() or bare[-2] in "@$€")
-        if not tail and not skip_first and m.clean(line.split()):
-            continue
-        toks = [(x.start(), x.end(), x[0]) for x in TOKEN.finditer(line)]
+        toks = list(TOKEN.finditer(line))
         nxt = body[k + 1] if k + 1 < len(body) else None
         start, skip_first = (1 if skip_first else 0), False
         stop = len(toks)
         if tail and toks and nxt is not None:
             right = TOKEN.search(lines[nxt])
             if right and not lines[nxt][: right.start()].strip():
-                l, r = toks[-1][2].casefold(), right[0].casefold()
+                l, r = toks[-1][0].casefold(), right[0].casefold()
                 joined, pair = m.counts.get(l + r, 0), m.counts.get(f"{l}-{r}", 0)
                 known = m.counts.get(l, 0) >= LEAST_COUNT and m.counts.get(r, 0) >= LEAST_COUNT
                 divided = joined > pair or (pair == 0 and not (known and bare[-1] == "-" and len(l) > 3 and len(r) > 3 and not m.correct(l + r, [])))
@@ -411,21 +463,23 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
                     noise[i].add("hyphen")
                     stop, skip_first = len(toks) - 1, True
                     if not joined:
-                        ctx = [w.casefold() for _, _, w in toks[-1 - WINDOW : -1]]
+                        ctx = [x[0].casefold() for x in toks[-1 - WINDOW : -1]]
                         hit = m.correct(l + r, ctx)
                         if hit or any(c in ODD for c in l + r):
                             v, p = hit or (l + r, 0 if any(c in ODD for c in l) else len(l))
                             at = i if p < len(l) else nxt
                             noise[at].add("ocr")
                             if hit and p < len(l):
-                                fixes.setdefault(i, []).append((*toks[-1][:2], _cased(toks[-1][2], v[: max(1, len(v) - len(r))])))
+                                fixes.setdefault(i, []).append((*toks[-1].span(), _cased(toks[-1][0], v[: max(1, len(v) - len(r))])))
                             elif hit:
                                 fixes.setdefault(nxt, []).append((right.start(), right.end(), v[len(l) :]))
-        low = [w.casefold() for _, _, w in toks]
+        low: list[str] = []
         for j in range(start, stop):
-            s, e, w = toks[j]
-            if line[e : e + 1] != "'" and m.good_word(w):
+            w = toks[j][0]
+            s, e = toks[j].span()
+            if (w in m.good or m.good_word(w)) and line[e : e + 1] != "'":
                 continue
+            low = low or [x[0].casefold() for x in toks]
             if CODE.match(w):
                 if w == "1" and line[e : e + 1] in "'’" and line[e + 1 : e + 2].isalpha():
                     noise[i].add("ocr")
