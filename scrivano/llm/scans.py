@@ -63,7 +63,9 @@ TITLE = re.compile(r"^\s*(?:(?:Art\.?\s*)?\d+(?:\.\d+)*\s+[A-ZÀ-Ý]|[A-ZÀ-Ý][
 
 _SHAPE = re.compile(r"[\w'’]*[^\W\d_][\w'’]*|\d+|[^\w\s]")
 _ODD_LETTERS = str.maketrans("@|!$€", "alise")
-_NO_DIGITS = {c: None for c in map(ord, "0123456789 \t\r–—-|[]().")}
+_FIRST = re.compile(r"[^\W\d_]{1,5}")
+_OUTER = "0123456789 \t\r–—-|[]()."
+_NO_DIGITS = {c: None for c in map(ord, _OUTER)}
 
 
 def may_be_header(line: str) -> str:
@@ -86,11 +88,14 @@ def shape(line: str) -> str:
 
 def recurring(lines: list[str]) -> dict[int, bool]:
     """Of the lines that may be headers: does the line, numbers apart, stand in the text more than once?"""
-    keys = {i: x.casefold().translate(_NO_DIGITS) for i, line in enumerate(lines) if (x := may_be_header(line))}
-    if len(set(keys.values())) == len(keys):
-        return dict.fromkeys(keys, False)
-    n = Counter(keys.values())
-    return {i: n[k] > 1 and len(k) >= 4 for i, k in keys.items()}
+    found = {i: x for i, line in enumerate(lines) if (x := may_be_header(line))}
+    if len(found) < 2:
+        return dict.fromkeys(found, False)
+    heads = {i: m[0].casefold() if (m := _FIRST.search(x)) else "" for i, x in found.items()}
+    n = Counter(heads.values())
+    keys = {i: x.casefold().translate(_NO_DIGITS) for i, x in found.items() if n[heads[i]] > 1}  # equal lines have equal first letters
+    m = Counter(keys.values())
+    return {i: i in keys and m[keys[i]] > 1 and len(keys[i]) >= 4 for i in found}
 
 
 def _interrupts(lines: list[str], i: int) -> bool:
