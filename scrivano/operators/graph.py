@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from scrivano.functions import lexicon as L
 from scrivano.functions import text as T
 
-MOST_LINKS, ROUNDS = 4, 10
+MOST_LINKS = 4
 STEP = "array<struct<id:string,type:string,agent:string,description_synthetic:string,description:string,meta:string>>"
 
 
@@ -83,13 +85,14 @@ def _anchor(a: str, b: str) -> str:
     return "anc_" + hashlib.sha1(f"{a}>{b}".encode()).hexdigest()[:12]
 
 
-def limit_degrees(arcs: list[tuple[str, str, str]], most: int = MOST_LINKS, rounds: int = ROUNDS) -> tuple[list[tuple[str, str, str]], list[tuple[str, str]]]:
+def limit_degrees(arcs: list[tuple[str, str, str]], most: int = MOST_LINKS, rounds: int | None = None) -> tuple[list[tuple[str, str, str]], list[tuple[str, str]]]:
     """Arcs rewritten so that no node has more than ``most`` links: crowded nodes get trees of merge or split gateways.
 
     A tree node takes at least two arcs, so trees always shrink; a node whose other side leaves less than that room is
-    relieved on both sides in turn.  Returns the arcs and the added ``(alias, label)``.
+    relieved on both sides in turn.  One node is relieved a round, until none is over the limit or after ``rounds``.
+    The order of the arcs given does not count.  Returns the arcs and the added ``(alias, label)``.
     """
-    arcs, added = list(arcs), []
+    arcs, added = sorted(arcs), []
 
     def link(a: str, b: str, label: str) -> None:
         if a.startswith("gw_") and b.startswith("gw_"):  # an empty task between two gateways
@@ -99,7 +102,7 @@ def limit_degrees(arcs: list[tuple[str, str, str]], most: int = MOST_LINKS, roun
         else:
             arcs.append((a, b, label))
 
-    for no in range(rounds):
+    for no in itertools.count() if rounds is None else range(rounds):
         ins, outs = {}, {}
         for s, t, _ in arcs:
             outs[s] = outs.get(s, 0) + 1
@@ -148,7 +151,7 @@ def limit_degrees(arcs: list[tuple[str, str, str]], most: int = MOST_LINKS, roun
 def limited_edges(e: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     """``procedure_id, src, tgt, label, added``: arcs under the degree limit; ``added`` names gateways put in.
 
-    One procedure's arcs are one group; they are bounded by its steps.
+    Only procedures with a node over the limit are rewritten; one's arcs are one group, bounded by its steps.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -156,8 +159,10 @@ def limited_edges(e: DataFrame, most: int = MOST_LINKS) -> DataFrame:
         names = dict(extra)
         return pd.DataFrame([(g["procedure_id"].iloc[0], s, t, lab, names.get(s, "")) for s, t, lab in arcs], columns=["procedure_id", "src", "tgt", "label", "added"])
 
-    ordered = e.select("procedure_id", "src", "tgt", "label").sortWithinPartitions("procedure_id", "src", "tgt", "label")
-    return ordered.groupBy("procedure_id").applyInPandas(run, "procedure_id string, src string, tgt string, label string, added string")
+    arcs = e.select("procedure_id", "src", "tgt", "label")
+    full = degrees(arcs).where(F.col("in_degree") + F.col("out_degree") > most).select("procedure_id").distinct()
+    out = arcs.join(full, "procedure_id", "left_semi").groupBy("procedure_id").applyInPandas(run, "procedure_id string, src string, tgt string, label string, added string")
+    return out.unionByName(arcs.join(full, "procedure_id", "left_anti").withColumn("added", F.lit("")))
 
 
 def element_line(kind, alias, description):

@@ -79,3 +79,14 @@ def test_text(spark):
     assert one(spark, "x", T.store_name).startswith("col_")
     assert one(spark, "a [b] <c>|d", T.dsl_safe) == "a b c d"
     assert one(spark, "Sportello Unico", lambda c: T.agent_queries(c)) == ["Sportello Unico", "sportello unico", "sportello", "unico"]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ('{"a": 1}', '{"a": 1}'), ('Ecco: {"a": "x } y", "b": {"c": [1]}} fine {"d": 2}', '{"a": "x } y", "b": {"c": [1]}}'), ("{non json} {\"a\": 2}", '{"a": 2}'), ("[1, {\"a\": 2}]", "{}"), ('"solo testo {}"', "{}"),
+        ("", "{}"), (None, "{}"), ("{" * 3000, "{}"), ('```json\n{"a": "{"}\n```', '{"a": "{"}'),
+    ],
+)
+def test_first_json(text, want):
+    assert T.first_json(text) == want

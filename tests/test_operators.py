@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -109,6 +110,22 @@ def test_degree_limit(fan):
     assert {f"b{i}" for i in range(fan)} <= seen
 
 
+def test_degree_limit_has_no_last_round(spark):
+    """More crowded nodes than any fixed number of rounds; order of the arcs doesn't count; others stay untouched."""
+    arcs = [(f"n{i}", f"n{(i * 7 + k) % 40}", "") for i in range(40) for k in range(1, 5)]
+    out, _ = graph.limit_degrees(arcs)
+    deg = Counter(x for s, t, _ in out for x in (s, t))
+    assert max(deg.values()) <= 4 and graph.limit_degrees(arcs[::-1])[0] == out
+    tree, added = graph.limit_degrees([(f"a{i}", "x", "") for i in range(4)] + [("x", "y", "ok")])
+    assert set(tree) == {("a0", "gw_merge_x_0_1", ""), ("a1", "gw_merge_x_0_1", ""), ("a2", "gw_merge_x_0_1", ""), ("a3", "gw_merge_x_0_2", ""), ("gw_merge_x_0_3", "x", ""), ("x", "y", "ok")} | {
+        a for k in (1, 2) for m in [graph._anchor(f"gw_merge_x_0_{k}", "gw_merge_x_0_3")] for a in ((f"gw_merge_x_0_{k}", m, ""), (m, "gw_merge_x_0_3", ""))
+    }
+    assert [n for n, _ in added if n.startswith("gw_")] == ["gw_merge_x_0_1", "gw_merge_x_0_2", "gw_merge_x_0_3"]
+    e = spark.createDataFrame([("p", *x) for x in arcs] + [("q", "a", "b", "SI")], "procedure_id string, src string, tgt string, label string")
+    rows = graph.limited_edges(e).collect()
+    assert {(r.src, r.tgt, r.label) for r in rows if r.procedure_id == "p"} == set(out) and [(r.src, r.tgt, r.label, r.added) for r in rows if r.procedure_id == "q"] == [("a", "b", "SI", "")]
+
+
 def test_assignment_is_optimal():
     import itertools
 
