@@ -55,27 +55,57 @@ def first_items(arr, n: int) -> Column:
     return F.coalesce(F.to_json(F.slice(arr, 1, n)), F.lit("[]"))
 
 
+def shrunk(blocks: Column, count: int = 12, most: int = 650) -> Column:
+    """Context blocks ``(id, kind, text)`` cut for a prompt."""
+    return F.transform(F.slice(blocks, 1, count), lambda b: F.struct(b.id.alias("evidence_id"), b.kind.alias("kind"), T.truncate(b.text, most).alias("text")))
+
+
 def titles_prompt(items: Column, examples: Column) -> Column:
     return cap(F.concat(
         F.lit("Quali di queste righe sono titoli? Rispondi con JSON {\"titles\":[{\"line_no\",\"is_title\",\"level\",\"clean_title\"}]}.\nEsempi: "), first_items(examples, 4), F.lit("\nRighe: "), F.to_json(items)
     ))
 
 
-def section_prompt(title: Column, path: Column, text: Column) -> Column:
+def chunk_titles_prompt(chunk: Column) -> Column:
+    return cap(F.concat(F.lit("Elenca i titoli di questo brano, livello da 1 a 3. Rispondi con JSON {\"titles\":[{\"title\",\"level\"}]}.\nBrano: "), chunk))
+
+
+def section_prompt(title: Column, path: Column, text: Column, examples: Column, similar: Column) -> Column:
+    """``examples(label, ...)``: three of each label are shown, and two similar passages."""
+    of = lambda label: first_items(F.filter(examples, lambda x: x.label == label), 3)
+    return cap(F.concat(
+        F.lit("La sezione descrive una procedura? Rispondi con JSON {\"is_procedure\",\"confidence\",\"action_candidates\",\"reasons\"}.\nTitolo: "), title, F.lit("\nPercorso: "), path,
+        F.lit("\nEsempi procedurali: "), of("procedural_section_pattern"), F.lit("\nAltri esempi: "), of("nonprocedural_section_pattern"), F.lit("\nPassi simili: "), first_items(similar, 2), F.lit("\nTesto: "), T.trim_section(text),
+    ))
+
+
+CONTEXT_CHARS, SIMILAR_CHARS = 120_000, 18_000
+
+
+def minimal_prompt(title: Column, path: Column, text: Column, context: Column, similar: Column) -> Column:
     return cap(F.concat(
-        F.lit("La sezione descrive una procedura? Rispondi con JSON {\"is_procedure\",\"confidence\",\"action_candidates\",\"reasons\"}.\nTitolo: "), title, F.lit("\nPercorso: "), path, F.lit("\nTesto: "), T.trim_section(text)
+        F.lit("Riassumi la procedura in passi brevi, solo da questa sezione. Rispondi con JSON {\"status\",\"steps\":[\"...\"],\"notes\":[\"...\"]}.\nTitolo: "), title, F.lit("\nPercorso: "), path, F.lit("\nTesto: "), T.trim_section(text),
+        F.lit("\nContesto: "), T.truncate(F.to_json(context), CONTEXT_CHARS), F.lit("\nProcedure simili, solo per la forma: "), T.truncate(first_items(similar, 3), SIMILAR_CHARS),
     ))
 
 
-def steps_prompt(title: Column, path: Column, text: Column, agents: Column, context: Column) -> Column:
+STEP_TYPES = (
+    "event_start", "event_end", "event_timer", "event_intermediate", "event_message", "event_signal", "event_conditional", "event_link",
+    "activity_task", "activity_subprocess", "gateway_exclusive", "gateway_parallel", "gateway_inclusive", "gateway_event",
+)
+
+
+def steps_prompt(title: Column, path: Column, text: Column, agents: Column, context: Column, definitions: Column, examples: Column, actions: Column, similar: Column) -> Column:
+    """Shows 16 definitions, 24 agents, 3 examples, 8 actions, 10 context blocks and 3 similar procedures at most."""
     return cap(F.concat(
-        F.lit("Estrai i passi. Rispondi con JSON {\"status\",\"notes\",\"steps\":[{\"id\",\"type\",\"agent\",\"description_synthetic\",\"meta\"}]}.\nTitolo: "), title, F.lit("\nPercorso: "), path,
-        F.lit("\nAttori: "), first_items(agents, 24), F.lit("\nContesto: "), first_items(context, 10), F.lit("\nTesto: "), T.trim_section(text),
+        F.lit(f"Estrai i passi, di tipo {', '.join(STEP_TYPES)}. Rispondi con JSON {{\"status\",\"notes\",\"steps\":[{{\"id\",\"type\",\"agent\",\"description_synthetic\",\"meta\"}}]}}.\nTitolo: "), title, F.lit("\nPercorso: "), path,
+        F.lit("\nDefinizioni: "), first_items(definitions, 16), F.lit("\nAttori: "), first_items(agents, 24), F.lit("\nEsempi: "), first_items(examples, 3), F.lit("\nAzioni: "), first_items(actions, 8),
+        F.lit("\nContesto: "), first_items(context, 10), F.lit("\nProcedure simili: "), first_items(similar, 3), F.lit("\nTesto: "), T.trim_section(text),
     ))
 
 
-def definitions_prompt(candidates: Column) -> Column:
-    return cap(F.concat(F.lit("Estrai le definizioni. Rispondi con JSON {\"definitions\":[{\"term\",\"definition\",\"line_no\"}]}.\nRighe: "), first_items(candidates, 180)))
+def definitions_prompt(candidates: Column, most: int = 180) -> Column:
+    return cap(F.concat(F.lit("Estrai le definizioni. Rispondi con JSON {\"definitions\":[{\"term\",\"definition\",\"line_no\"}]}.\nRighe: "), first_items(candidates, most)))
 
 
 def summary_prompt(term: Column, definition: Column) -> Column:
