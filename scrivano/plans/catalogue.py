@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from scrivano.functions import lexicon as L
 from scrivano.functions import scores as S
 from scrivano.functions import text as T
-from scrivano.operators import chunks, context, definitions, evaluation, graph, lines, outline, retrieval, store
-from scrivano.plans import pipeline
+from scrivano.operators import chunks, context, definitions, evaluation, extraction, graph, lines, outline, retrieval, store
+from scrivano.plans import diagrams, evaluate, pipeline
 from scrivano.session import table
+from scrivano.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +50,11 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.lines(_docs(spark, d))
 
 
+def _re2(pattern: str) -> str:
+    """RE2 repeats 1000 times at most."""
+    return _q(pattern.replace("{5,1200}", "{5,1000}.{0,200}"))
+
+
 WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -222,7 +228,10 @@ def section_text(spark, d):
     return t.select("doc_id", "sec_idx", F.length("text").alias("chars"), F.sha1("text").alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TREE_SQL}, paths AS (SELECT doc_id, idx, title AS path FROM tree WHERE parent_index IS NULL UNION ALL SELECT t.doc_id, t.idx, p.path || ' > ' || t.title FROM tree t JOIN paths p ON t.doc_id = p.doc_id AND t.parent_index = p.idx),
+st AS (SELECT s.doc_id, s.sec_idx, s.section_id, s.title, string_agg(l.line, chr(10) ORDER BY l.line_no) AS raw FROM sid s JOIN lns l ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line GROUP BY ALL)
+SELECT 'sec_doc_' || left(sha1('sec_doc:' || st.doc_id || '|' || section_id), 16) AS id, st.doc_id, section_id, title, coalesce(path, 'DOCUMENTO') AS path, title || chr(10) || coalesce(path, 'DOCUMENTO') || chr(10) || chr(10) || left(text, 1200) AS text
+FROM (SELECT *, {strip_sql('raw')} AS text FROM st) st LEFT JOIN paths p ON p.doc_id = st.doc_id AND p.idx = st.sec_idx WHERE text <> ''""")
 def section_parents(spark, d):
     return outline.parent_chunks(outline.section_texts(_sections(spark, d), _lines(spark, d)))
 
@@ -250,12 +259,23 @@ def paragraphs(spark, d):
     return chunks.paragraphs(_lines(spark, d)).select("doc_id", "line_start", "line_end", F.sha1("text").alias("digest"))
 
 
-@query()
+_PIECES = f"""{LINES_SQL}, isl AS (SELECT *, sum(CASE WHEN {strip_sql('line')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM lns),
+par AS (SELECT doc_id, min(line_no) AS line_start, max(line_no) AS line_end, {strip_sql("string_agg(line, chr(10) ORDER BY line_no)")} AS t FROM isl WHERE {strip_sql('line')} <> '' GROUP BY doc_id, g),
+pk AS (SELECT *, CASE WHEN length(t) <= 1200 THEN [t] ELSE string_split(list_reduce(string_split(regexp_replace(t, '([.;:]){WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda a, p: CASE WHEN length(list_last(string_split(a, chr(1)))) + length(p) + 2 > 1200 THEN a || chr(1) || p ELSE a || ' ' || p END), chr(1)) END AS ps FROM par),
+pc AS (SELECT doc_id, line_start, line_end, i, {strip_sql('ps[i]')} AS text FROM pk, unnest(generate_series(1, len(ps))) AS u(i)),
+pn AS (SELECT doc_id, line_start, line_end, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_start, i) - 1 AS chunk_id FROM pc WHERE text <> '')"""
+
+
+@query(f"WITH {_PIECES} SELECT 'passage_' || left(sha1('passage:' || doc_id || '|' || line_start || '|' || line_end || '|' || chunk_id), 16) AS id, doc_id, chunk_id, line_start, line_end, text FROM pn")
 def passages(spark, d):
     return chunks.passages(_lines(spark, d))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE regexp_matches(text, '\S')),
+c AS (SELECT doc_id, text, 0 AS chunk_id, 0 AS s, CAST(NULL AS BIGINT) AS e, 0 AS nxt FROM t UNION ALL
+ SELECT doc_id, text, CASE WHEN e IS NULL THEN 0 ELSE chunk_id + 1 END, nxt, en, en FROM (SELECT *, CASE WHEN nxt + 2000 >= length(text) THEN length(text) WHEN hit <> '' THEN nxt + 2000 + instr(w, hit) - 1 + length(hit) ELSE least(length(text), nxt + 3000) END AS en
+  FROM (SELECT *, substr(text, nxt + 2001, 1000) AS w, regexp_extract(substr(text, nxt + 2001, 1000), '([\.!?])(\s|\n)|(\n{2,})|(;)(\s|\n)', 0) AS hit FROM c WHERE nxt < length(text))))
+SELECT doc_id, chunk_id, s AS start_char, e AS end_char, substr(text, s + 1, e - s) AS text FROM c WHERE e IS NOT NULL""".replace("\\\\", "\\"))
 def blind_chunks(spark, d):
     return chunks.blind_chunks(lines.documents(table(spark, d, "documents"), rstrip=False))
 
@@ -338,7 +358,8 @@ def multi_query(spark, d):
 
 @query()
 def text_retrieval(spark, d):
-    """Procedures nearest to each tenth-thousand by the offline embedder, own document left out."""
+    """For one procedure in a hundred, by hash, the procedures nearest by the offline embedder, own document left out; all
+    procedures are searched."""
     p = table(spark, d, "diagram_procedures").where("original_text_full is not null").dropDuplicates(["procedure_id"])
     v = p.select(F.col("procedure_id").alias("id"), F.col("doc_id").alias("doc"), retrieval.hashing_embedder(F.concat_ws(" ", "section_title", "original_text_full")).alias("vec"))
     q = v.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), "doc")
@@ -369,11 +390,42 @@ def definition_candidates(spark, d):
     return definitions.candidates(_lines(spark, d))
 
 
-@query()
+_TERM = rf"regexp_replace(regexp_replace({squeeze_sql('t')}, '^[ :;\-–—\s]+|[ :;\-–—\s]+$', '', 'g'), '^$', '')"
+
+
+@query(rf"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no, {strip_sql('line')} AS s FROM lns), f AS ({' UNION ALL '.join(f"SELECT doc_id, line_no, {i} AS pat, regexp_extract(s, {_re2(p)}, 1) AS t, regexp_extract(s, {_re2(p)}, 2) AS x FROM l WHERE length(s) >= 12" for i, p in enumerate(L.TERM_PATTERNS))}),
+c AS (SELECT doc_id, line_no, pat, {_TERM} AS term, {squeeze_sql('x')} AS definition FROM f), k AS (SELECT * FROM c WHERE length(term) BETWEEN 2 AND 60 AND lower(term) NOT IN ({', '.join(map(_q, L.STOP_TERMS))}) AND length(definition) >= 8
+ QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term), left(lower(definition), 80) ORDER BY line_no, pat) = 1) SELECT doc_id, line_no, pat, term, definition FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pat) <= 120""")
 def definition_patterns(spark, d):
     return definitions.by_patterns(_lines(spark, d))
 
 
+@query(rf"""WITH {LINES_SQL}, w AS (SELECT doc_id, line_no, {strip_sql('line')} AS s, {strip_sql("lead(line, 1, '') OVER (PARTITION BY doc_id ORDER BY line_no)")} AS l1, {strip_sql("lead(line, 2, '') OVER (PARTITION BY doc_id ORDER BY line_no)")} AS l2 FROM lns),
+ca AS (SELECT doc_id, line_no, CASE WHEN {_goes('l1')} AND {_goes('l2')} THEN s || ' ' || l1 || ' ' || l2 WHEN {_goes('l1')} THEN s || ' ' || l1 ELSE s END AS text FROM w WHERE {DEFLINE_SQL} AND length(s) >= 8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 260),
+an AS (SELECT doc_id, line_no, regexp_extract(text, {_re2(L.TERM_PATTERNS[3])}, 1) AS t, regexp_extract(text, {_re2(L.TERM_PATTERNS[3])}, 2) AS x FROM ca), va AS (SELECT doc_id, line_no, {_TERM} AS term, left({squeeze_sql('x')}, 1200) AS definition FROM an WHERE t <> ''),
+ok AS (SELECT *, lower({squeeze_sql('term')}) AS k FROM va WHERE length(term) BETWEEN 2 AND 60 AND length(definition) >= 8 AND NOT regexp_matches(term, {_q('(?i)' + L.DEF_BAD_TERM)})),
+kl AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY length(definition) DESC, line_no) = 1)
+SELECT doc_id, line_no, term, definition, row_number() OVER (PARTITION BY doc_id ORDER BY length(definition) DESC, line_no) AS rank FROM kl QUALIFY rank <= 140""")
+def extracted_definitions(spark, d):
+    """Definitions of the documents as the rule answers give them, without retrieval and sections."""
+    lns = _lines(spark, d)
+    none = spark.createDataFrame([], "doc_id string, sec_idx int, start_line int, end_line int, title string, path string, section_id string")
+    return extraction.extract(lns, none, pipeline.rules(), "guided").select("doc_id", "line_no", "term", "definition", "rank")
+
+
+@query(rf"""WITH {_DEFS}, t AS (SELECT doc_id, def_id, definition, {strip_sql('lower(term)')} AS k FROM d WHERE definition IS NOT NULL), f AS (SELECT doc_id, k, min_by(definition, def_id) AS definition FROM t WHERE k <> '' GROUP BY doc_id, k),
+a AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(allowed_agents) AS term FROM prompt_blocks)) SELECT a.doc_id, a.term, f.definition FROM (SELECT * FROM a WHERE term IS NOT NULL) a LEFT JOIN f ON f.doc_id = a.doc_id AND f.k = {strip_sql('lower(a.term)')}""")
+def matched_definitions(spark, d):
+    a = table(spark, d, "prompt_blocks").select("doc_id", F.explode("allowed_agents").alias("term")).where("term is not null").distinct()
+    return extraction.match_definition(a, _defs(spark, d).where("definition is not null"))
+
+
+@query(rf"""WITH {_DEFS} SELECT def_id, replace(coalesce(term, ''), '|', '/') || ' | ' || replace(coalesce(definition, ''), '|', '/') || ' | ' || replace(coalesce(section_id, ''), '|', '/') || ' |  | ' || replace(coalesce(definition, ''), '|', '/') AS value FROM d""")
+def definition_dump(spark, d):
+    x = _defs(spark, d).select("def_id", "term", F.col("definition").alias("summary"), F.col("section_id").alias("section"), F.lit(None).cast("string").alias("subsection"), F.col("definition").alias("raw"))
+    return x.select("def_id", readers.definition_line().alias("value"))
+
+
 @query(f"""WITH {_DEFS}, k AS (SELECT *, {squeeze_sql('lower(term)')} AS k, lower(coalesce(section_id, '')) AS sk, length(coalesce(definition, '')) AS len FROM d),
 b AS (SELECT * FROM k WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, k, sk ORDER BY len DESC, def_id) = 1)
 SELECT doc_id, def_id, term, definition, line_no, section_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, line_no NULLS LAST, def_id) AS rank FROM b QUALIFY rank <= 140""")
@@ -429,7 +481,14 @@ def normalized_agents(spark, d):
     return a.select("agent", T.normalize_agent(F.col("agent")).alias("normalized"))
 
 
-@query()
+def _plain_sql(c: str) -> str:
+    return squeeze_sql(rf"regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')")
+
+
+@query(rf"""WITH b AS (SELECT agent_id, {squeeze_sql('canonical_agent')} AS base FROM agent_registry), t AS (SELECT agent_id, base, {_plain_sql('base')} AS plain, list_filter(string_split({_plain_sql('lower(base)')}, ' '), lambda x: length(x) >= 3)[1:6] AS toks FROM b),
+q AS (SELECT agent_id, list_filter([base, lower(base), plain] || toks || list_transform(generate_series(1, len(toks) - 1), lambda i: toks[i] || ' ' || toks[i + 1]), lambda x: x <> '') AS qs FROM t),
+u AS (SELECT agent_id, i, qs[i] AS subquery FROM q, unnest(generate_series(1, len(qs))) AS g(i) QUALIFY row_number() OVER (PARTITION BY agent_id, qs[i] ORDER BY i) = 1)
+SELECT agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY i) - 1 AS pos, subquery FROM u QUALIFY pos < 6""")
 def agent_queries(spark, d):
     a = table(spark, d, "agent_registry")
     return a.select("agent_id", F.posexplode(T.agent_queries(F.col("canonical_agent"))).alias("pos", "subquery"))
@@ -518,12 +577,44 @@ def agent_colours(spark, d):
     return table(spark, d, "agent_registry").withColumn("rank", r).select("canonical_agent", "rank", T.agent_colour(F.col("rank"), F.col("canonical_agent")).alias("colour"))
 
 
-@query()
+def _wrap_sql(c: str, width: int) -> str:
+    return rf"list_reduce(list_filter(string_split({c}, ' '), lambda w: w <> ''), lambda a, w: CASE WHEN length(list_last(string_split(a, '\n'))) + 1 + length(w) <= {width} THEN a || ' ' || w ELSE a || '\n' || w END)"
+
+
+@query(f"WITH {STEPS_SQL} SELECT procedure_id, CAST(pos + 1 AS VARCHAR) AS id, CASE WHEN {squeeze_sql('s')} = '' THEN '' ELSE {_wrap_sql(squeeze_sql('s'), 25)} END AS label FROM s0")
 def wrapped_labels(spark, d):
     s = _steps(spark, d)
     return s.select("procedure_id", "id", T.wrap(F.col("description_synthetic"), 25).alias("label"))
 
 
+@query(rf"""WITH {STEPS_SQL}, w AS (SELECT procedure_id, CAST(pos + 1 AS VARCHAR) AS id, CASE WHEN {squeeze_sql('s')} = '' THEN '' ELSE {_wrap_sql(squeeze_sql('s'), 25)} END AS label FROM s0), n AS (SELECT *, CASE WHEN label = '' THEN 1 ELSE len(string_split(label, '\n')) END AS lines FROM w)
+SELECT procedure_id, id, lines, printf('%.2f', greatest(1.0::DOUBLE, least(2.8::DOUBLE, 1.0::DOUBLE + (lines - 1) * 0.22::DOUBLE))) AS diameter, CAST(trunc(greatest(90.0::DOUBLE, least(220.0::DOUBLE, 28 + 7.2::DOUBLE * length(id)))) AS INT) AS header FROM n""")
+def label_sizes(spark, d):
+    s = _steps(spark, d).select("procedure_id", "id", context.label_lines(T.wrap(F.col("description_synthetic"), 25)).alias("lines"))
+    return s.select("procedure_id", "id", "lines", context.diameter(F.col("lines")).alias("diameter"), context.lane_header_px(F.col("id")).alias("header"))
+
+
+@query("""WITH r AS (SELECT DISTINCT procedure_id, doc_id, section_title FROM procedure_records WHERE section_title IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_title ORDER BY procedure_id) AS k FROM r)
+SELECT procedure_id, doc_id, CASE WHEN k > 1 THEN section_title || ' (' || k || ')' ELSE section_title END AS label FROM k""")
+def numbered_titles(spark, d):
+    r = table(spark, d, "procedure_records").where("section_title is not null").select("procedure_id", "doc_id", "section_title").distinct()
+    return context.unique_labels(r, "doc_id", "section_title", "procedure_id").select("procedure_id", "doc_id", "label")
+
+
+@query(rf"""WITH n AS (SELECT procedure_id AS pos, left(regexp_replace(regexp_replace(regexp_replace(coalesce(min(section_title), ''), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '{WS}+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 100) AS file FROM procedure_records GROUP BY procedure_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS k FROM n) SELECT pos, CASE WHEN k > 0 THEN file || '_' || k ELSE file END AS file FROM k""")
+def unique_file_names(spark, d):
+    n = table(spark, d, "procedure_records").groupBy(F.col("procedure_id").alias("pos")).agg(F.coalesce(F.min("section_title"), F.lit("")).alias("name"))
+    return readers.unique_names(n).select("pos", "file")
+
+
+@query(r"""WITH p AS (SELECT DISTINCT procedure_id, steps FROM procedure_records WHERE steps IS NOT NULL) SELECT procedure_id, CAST(row_number() OVER (PARTITION BY procedure_id ORDER BY i) AS VARCHAR) AS point_label, steps[i] AS original_text FROM p, unnest(generate_series(1, len(steps))) AS t(i) WHERE steps[i] IS NOT NULL""")
+def step_points(spark, d):
+    s = _steps(spark, d)
+    listed = pipeline.with_branches(s, graph.link_steps(s)).groupBy("procedure_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_idx", "step"))), lambda x: x.step).alias("steps"))
+    return listed.select("procedure_id", F.explode(pipeline.points(F.col("steps"))).alias("p")).select("procedure_id", "p.point_label", "p.original_text")
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 
@@ -583,7 +674,20 @@ def _title_lists(spark, d) -> tuple[DataFrame, DataFrame]:
     return g, p
 
 
-@query()
+def _match_sql(least: float) -> str:
+    """Best token F1 of every gold item of ``g``, the first prediction of ``p`` on ties; a prediction serves once."""
+    return f"""gt AS (SELECT key, idx AS gi, list_distinct(list_filter(string_split({_strong_sql('text')}, ' '), lambda x: x <> '')) AS gt FROM g), pt AS (SELECT key, idx AS pi, list_distinct(list_filter(string_split({_strong_sql('text')}, ' '), lambda x: x <> '')) AS pt FROM p),
+pr AS (SELECT gt.key, gi, pi, 2 * len(list_intersect(gt, pt)) / (len(gt) + len(pt))::DOUBLE AS s FROM gt JOIN pt USING (key) WHERE len(list_intersect(gt, pt)) > 0),
+be AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY key, gi ORDER BY s DESC, pi) = 1), us AS (SELECT key, pi, min(gi) AS gi FROM be WHERE s >= {least}::DOUBLE GROUP BY key, pi), nm AS (SELECT key, count(*) AS matched FROM us GROUP BY key),
+ba AS (SELECT coalesce(a.key, b.key) AS key, coalesce(golds, 0) AS golds, coalesce(preds, 0) AS preds, coalesce(matched, 0) AS matched FROM (SELECT key, count(*) AS golds FROM gt GROUP BY key) a FULL OUTER JOIN (SELECT key, count(*) AS preds FROM pt GROUP BY key) b ON a.key = b.key LEFT JOIN nm ON nm.key = coalesce(a.key, b.key)),
+sc AS (SELECT *, CASE WHEN preds > 0 THEN matched / preds::DOUBLE ELSE 0 END AS p, CASE WHEN golds > 0 THEN matched / golds::DOUBLE ELSE 0 END AS r FROM ba)"""
+
+
+_SCORES = "round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1"
+
+
+@query(f"""WITH {TREE_SQL}, g0 AS (SELECT DISTINCT procedure_id, doc_id, section_title FROM procedure_records WHERE section_title IS NOT NULL), g AS (SELECT doc_id AS key, section_title AS text, row_number() OVER (PARTITION BY doc_id ORDER BY procedure_id) - 1 AS idx FROM g0),
+p AS (SELECT doc_id AS key, title AS text, idx FROM ti), {_match_sql(0.72)} SELECT key, golds, preds, matched, {_SCORES} FROM sc""")
 def title_token_match(spark, d):
     g, p = _title_lists(spark, d)
     m = evaluation.best_token_match(g, p, "key")
@@ -614,7 +718,11 @@ def tfidf_words(spark, d):
     return evaluation.cosine_pairs(w, "task", "item_id").withColumn("cosine", F.round("cosine", 5))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT task, item_id, unnest(list_filter(string_split(lower({squeeze_sql('text')}), ' '), lambda w: w <> '')) AS w FROM eval_items), p AS (SELECT task, item_id, ' ' || w || ' ' AS p FROM t),
+gr AS (SELECT task, item_id, substr(p, i, n) AS g FROM p, unnest([3, 4, 5]) AS x(n), unnest(generate_series(1, greatest(length(p) - n + 1, 0))) AS y(i)),
+tf AS (SELECT task, item_id, g, count(*) AS tf FROM gr GROUP BY ALL), n AS (SELECT task, count(DISTINCT item_id) AS n FROM eval_items GROUP BY task), df AS (SELECT task, g, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT task, item_id, g, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (task, g) JOIN n USING (task)), nr AS (SELECT task, item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL), v AS (SELECT task, item_id, g, w / norm AS w FROM w JOIN nr USING (task, item_id))
+SELECT a.task, a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 5) AS cosine FROM v a JOIN v b ON a.task = b.task AND a.g = b.g AND a.item_id < b.item_id GROUP BY ALL""")
 def tfidf_chars(spark, d):
     w = evaluation.tfidf(table(spark, d, "eval_items"), "task", "item_id", evaluation.char_grams(F.col("text")))
     return evaluation.cosine_pairs(w, "task", "item_id").withColumn("cosine", F.round("cosine", 5))
@@ -627,6 +735,35 @@ def title_containment(spark, d):
     return r.select("procedure_id", F.round(evaluation.containment(T.tokens(F.col("section_title")), T.tokens(F.col("section_path"))), 6).alias("containment"))
 
 
+@query(rf"""WITH t AS (SELECT procedure_id, len(list_filter(string_split({_strong_sql('section_title')}, ' '), lambda x: x <> '')) AS a, len(list_filter(string_split({_strong_sql('section_path')}, ' '), lambda x: x <> '')) AS b
+FROM (SELECT DISTINCT procedure_id, section_title, section_path FROM procedure_records WHERE section_title IS NOT NULL AND section_path IS NOT NULL)) SELECT procedure_id, round(power(least(greatest(a, 1), greatest(b, 1)) / greatest(a, b, 1)::DOUBLE, 0.6::DOUBLE), 6) AS damping FROM t""")
+def title_damping(spark, d):
+    r = table(spark, d, "procedure_records").where("section_title is not null and section_path is not null").select("procedure_id", "section_title", "section_path").distinct()
+    return r.select("procedure_id", F.round(evaluation.length_penalty(T.tokens(F.col("section_title")), T.tokens(F.col("section_path"))), 6).alias("damping"))
+
+
+_SPACED = rf"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(9), ' '), chr(13), chr(10)), '[ \x{{00A0}}]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE left(t, 177) || '...' END AS excerpt FROM (SELECT doc_id, {squeeze_sql(_SPACED)} AS t FROM documents WHERE text IS NOT NULL)")
+def excerpts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(rf"""WITH s AS (SELECT DISTINCT doc_id, variant AS system, CASE variant WHEN 'rag' THEN 1 WHEN 'no_rag_guided' THEN 2 WHEN 'no_rag_only' THEN 3 END AS n, {_strong_sql('term')} AS item FROM definitions_raw WHERE variant IN ('rag', 'no_rag_guided', 'no_rag_only') AND term IS NOT NULL),
+t AS (SELECT * FROM s WHERE item <> ''), d AS (SELECT DISTINCT doc_id, system, n FROM t), pa AS (SELECT a.doc_id, a.system AS x, b.system AS y FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.n < b.n),
+j AS (SELECT pa.doc_id, x, y, item, max(CASE WHEN t.system = x THEN 1 ELSE 0 END) AS ix, max(CASE WHEN t.system = y THEN 1 ELSE 0 END) AS iy FROM pa JOIN t ON t.doc_id = pa.doc_id AND t.system IN (x, y) GROUP BY ALL),
+m AS (SELECT doc_id, x, y, sum(ix * iy) AS tp, sum(iy * (1 - ix)) AS fp, sum(ix * (1 - iy)) AS fn FROM j GROUP BY ALL), v AS (SELECT x, y, unnest(['precision', 'recall', 'jaccard']) AS metric, unnest([CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, tp / (tp + fp + fn)::DOUBLE]) AS value FROM m)
+SELECT 'pairwise' AS kind, x AS first, y AS second, 'agents' AS block, metric, round(avg(value), 6) AS mean, count(*) AS documents FROM v GROUP BY ALL""")
+def evaluation_means(spark, d):
+    """The evaluation over the recorded extractors as systems: terms as agents, no lists."""
+    t = table(spark, d, "definitions_raw").where(F.col("variant").isin(*evaluate.SYSTEMS) & F.col("term").isNotNull())
+    a = t.select(F.col("doc_id").alias("doc"), F.col("variant").alias("system"), T.normalize_strong(F.col("term")).alias("agent")).where("agent <> ''").distinct()
+    none = spark.createDataFrame([], "doc string, system string, idx int, text string")
+    m = evaluate.aggregate(evaluate.metrics({"titles": none, "procedures": none, "agents": a}))
+    return m.where("metric <> 'f1'").withColumn("mean", F.round("mean", 6))
+
+
 @query("""WITH g AS (SELECT DISTINCT agent_id AS group_id, lower(alias) AS alias FROM (SELECT agent_id, canonical_agent AS alias FROM agent_registry UNION ALL SELECT agent_id, acronym FROM agent_registry) WHERE alias IS NOT NULL),
 c AS (SELECT group_id, min(struct_pack(n := length(alias), a := alias)).a AS canonical FROM g GROUP BY group_id) SELECT alias, max_by(canonical, group_id) AS canonical FROM g JOIN c USING (group_id) GROUP BY alias""")
 def gold_agent_names(spark, d):
@@ -673,9 +810,11 @@ def context_blocks(spark, d):
     p = table(spark, d, "diagram_procedures").where("original_text_full is not null").dropDuplicates(["procedure_id"]).select("doc_id", F.col("procedure_id").alias("section_id"), F.col("original_text_full").alias("text"))
     defs = chunks.definition_chunks(_defs(spark, d)).select("doc_id", "id", "term", "text")
     blocks = context.definition_support(p, definitions.allowed_agents(_defs(spark, d)), defs).select("section_id", F.col("place").alias("pos"), "id", "text")
-    hits = p.select("doc_id", "section_id").join(_defs(spark, d).where("definition is not null and term is not null").drop("section_id"), "doc_id").select("section_id", F.col("def_id").alias("pos"), F.col("def_id").cast("string").alias("id"), "term", F.col("definition").alias("text"))
-    passages = p.select("doc_id", F.col("section_id").alias("sec")).join(chunks.passages(_lines(spark, d)), "doc_id").select(F.col("sec").alias("section_id"), F.col("chunk_id").alias("pos"), "id", "text")
-    return context.assemble(blocks, hits, passages)
+    title = table(spark, d, "diagram_procedures").groupBy(F.col("procedure_id").alias("query_id")).agg(F.first("section_title", True).alias("title"))
+    q = p.select(F.col("section_id").alias("query_id"), "doc_id").join(title, "query_id").select("query_id", "doc_id", retrieval.hashing_embedder(T.support_query(F.coalesce("title", F.lit("")))).alias("qvec"))
+    near = lambda x, k: retrieval.knn(q, x.select("doc_id", "id", retrieval.hashing_embedder(F.col("text")).alias("vec")), k, on=["doc_id"]).join(x.drop("doc_id"), "id").withColumn("section_id", F.col("query_id")).withColumn("pos", F.col("rank"))
+    hits = near(defs, 8).select("section_id", "pos", "id", "term", "text")
+    return context.assemble(blocks, hits, near(chunks.passages(_lines(spark, d)).select("doc_id", "id", "text"), 12).select("section_id", "pos", "id", "text"))
 
 
 @query()
@@ -708,6 +847,15 @@ def store_upsert(spark, d):
     return store.new_rows(r.where("variant = 'rag'").drop("variant"), have).select("id", "text", "pos")
 
 
+@query()
+def diagram_counts(spark, d):
+    """Outcome of drawing the recorded procedures in three layouts."""
+    s = _steps(spark, d)
+    listed = pipeline.with_branches(s, graph.link_steps(s)).groupBy("procedure_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_idx", "step"))), lambda x: x.step).alias("steps"))
+    r = table(spark, d, "procedure_records").groupBy("procedure_id").agg(F.min("doc_id").alias("doc_id"), F.min("section_title").alias("subsection_title"))
+    return diagrams.counts(diagrams.three_layouts(r.join(listed, "procedure_id", "left")))
+
+
 def _pipeline(variant: str):
     def f(spark, d):
         return pipeline.run(table(spark, d, "documents"), variant)["stats"]

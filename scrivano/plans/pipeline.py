@@ -111,7 +111,7 @@ def run(
     evaluation: bool = False, local_similar: bool = False,
 ) -> dict[str, DataFrame]:
     """``outline, sections, definitions, normalized, agents, aliases, flags, context, records, diagrams, steps, links,
-    new_patterns, new_procedures, stats`` of all documents.
+    new_patterns, new_procedures, stats`` of all documents, and ``chunks`` for ``only``.
 
     ``patterns`` and ``procedures`` are the banks to read (``memory.PATTERNS``, ``memory.PROCEDURES``); they are read only
     by ``rag``, with ``use_crossdoc_patterns`` and not under ``evaluation``.  What a batch would give to the banks comes
@@ -158,6 +158,8 @@ def run(
         "new_procedures": memory.procedure_rows(records) if writes else spark.createDataFrame([], memory.PROCEDURES),
     }
     out["stats"] = _stats(docs, n_lines, out)
+    if only:
+        out["chunks"] = chunks.blind_chunks(docs, config.only_llm_min_chars_per_chunk, config.only_llm_max_chars_per_chunk)
     return out
 
 

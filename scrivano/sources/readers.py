@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from xml.etree import ElementTree
 
@@ -36,24 +36,39 @@ def pdf_text(data: bytes) -> str:
     return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
 
 
-def decode(path: str, data: bytes) -> tuple[str | None, str | None]:
+def ocr_text(data: bytes, ocr: Callable[[bytes], str]) -> str:
+    """Text of a scanned PDF by ``ocr``; the PDF's own text where it fails or finds nothing."""
+    try:
+        text = ocr(data).strip()
+    except Exception:
+        text = ""
+    return text or pdf_text(data)
+
+
+def decode(path: str, data: bytes, ocr: Callable[[bytes], str] | None = None) -> tuple[str | None, str | None]:
     """(text, error) of a file by its extension; unknown ones are UTF-8."""
     try:
         ext = path.rsplit(".", 1)[-1].lower()
+        if ext == "pdf" and ocr:
+            return ocr_text(data, ocr), None
         return (docx_text(data) if ext == "docx" else pdf_text(data) if ext == "pdf" else data.decode("utf-8")), None
     except Exception as e:  # a broken file is a row, not the end of the job
         return None, f"{type(e).__name__}: {e}"[:300]
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text, path, format, error`` of all .pdf, .docx and .txt files under ``folder``."""
+def read_documents(spark: SparkSession, folder: str, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
+    """``doc_id, text, path, format, error`` of all .pdf, .docx and .txt files under ``folder``.
+
+    ``ocr`` turns a PDF's bytes into text, page by page (a binding of an OCR engine); without it, and where it fails,
+    the text that the PDF carries is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     files = files.select("path", ext.alias("format"), "content").where(F.col("format").isin(*EXTENSIONS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [decode(p, c) for p, c in zip(b["path"], b["content"])]
+            got = [decode(p, c, ocr) for p, c in zip(b["path"], b["content"])]
             yield pd.DataFrame({"path": b["path"], "format": b["format"], "text": [g[0] for g in got], "error": [g[1] for g in got]})
 
     out = files.mapInPandas(run, "path string, format string, text string, error string")
@@ -109,10 +124,9 @@ def unique_names(names: DataFrame, column: str = "name") -> DataFrame:
     return n.withColumn("k", k).withColumn("file", F.when(F.col("k") > 0, F.concat("file", F.lit("_"), F.col("k"))).otherwise(F.col("file"))).drop("k")
 
 
-def definition_lines(defs: DataFrame) -> DataFrame:
-    """Definitions as ``term | summary | section | subsection | raw`` text lines."""
-    cols = [F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\|", "/") for c in ("term", "summary", "section", "subsection", "raw")]
-    return defs.select(F.concat_ws(" | ", *cols).alias("value"))
+def definition_line():
+    """A definition as a ``term | summary | section | subsection | raw`` text line."""
+    return F.concat_ws(" | ", *[F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("/")) for c in ("term", "summary", "section", "subsection", "raw")])
 
 
 @dataclass
