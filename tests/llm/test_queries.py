@@ -24,3 +24,16 @@ def test_query(spark, data, name):
         assert len(rows) == len(set(rows)) and (rows or name == "p6_found")
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "diagram_procedures", "procedure_records"):
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    cur = con.execute(Q.oracle_sql()[name])
+    df = Q.queries()[name](spark, data)
+    assert [x[0] for x in cur.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
