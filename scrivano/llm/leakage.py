@@ -22,6 +22,7 @@ from scrivano.llm.tokens import WORDS, batch_words, fold_text, shingle_hashes
 from scrivano.session import cut, maybe_broadcast
 
 N, WINDOW, EDITS, RATE, SLACK, BLOCK = 5, 20, 2, 0.12, 4, 5_000
+INDEX_ROWS = 1_000_000  # up to which a block's shingles (three numbers each, about 24 MB) may be broadcast
 NEED = WINDOW - N + 1 - EDITS * N
 
 
@@ -137,9 +138,9 @@ def _block(spark, docs: DataFrame, items: DataFrame) -> DataFrame:
     wins = idx.join(last, "item_id").withColumn("win", F.explode(F.sequence(F.greatest(F.col("pos") - size + 1, F.lit(0)), F.least("pos", F.col("last") - size + 1))))
     rank = F.row_number().over(Window.partitionBy("item_id", "win").orderBy("df", "h", "pos"))
     prefix = cut(wins.withColumn("rank", rank).where(F.col("rank") <= size - NEED + 1).select("item_id", "pos", "h").distinct())
-    pairs = hits.join(maybe_broadcast(prefix.select("h", "item_id").distinct(), 1_000_000), "h").select("doc_id", "item_id").distinct()
+    pairs = hits.join(maybe_broadcast(prefix.select("h", "item_id").distinct(), INDEX_ROWS), "h").select("doc_id", "item_id").distinct()
     # positional bound: NEED distinct shingles of one window, near one diagonal
-    shared = hits.join(maybe_broadcast(idx.select("h", "item_id", "pos"), 1_000_000), "h").join(pairs, ["doc_id", "item_id"])
+    shared = hits.join(maybe_broadcast(idx.select("h", "item_id", "pos"), INDEX_ROWS), "h").join(pairs, ["doc_id", "item_id"])
     diag = F.floor((F.col("dpos") - F.col("pos")) / SLACK)
     near = shared.withColumn("diag", F.explode(F.array(diag, diag + 1))).groupBy("doc_id", "item_id", "diag").agg(
         F.sort_array(F.collect_set("pos")).alias("ps"), F.min("dpos").alias("lo"), F.max("dpos").alias("hi")
@@ -148,5 +149,5 @@ def _block(spark, docs: DataFrame, items: DataFrame) -> DataFrame:
     near = near.where(F.size("ps") >= NEED).where(dense).groupBy("doc_id", "item_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cand = cut(near)
     texts = docs.join(maybe_broadcast(cand.select("doc_id").distinct()), "doc_id", "left_semi")
-    full = maybe_broadcast(cand).join(texts, "doc_id").join(F.broadcast(items.withColumnRenamed("text", "item_text")), "item_id")
+    full = maybe_broadcast(cand).join(texts, "doc_id").join(maybe_broadcast(items.withColumnRenamed("text", "item_text")), "item_id")
     return full.select("doc_id", "item_id", "lo", "hi", "text", "item_text").mapInPandas(_verify, "doc_id long, item_id long")
