@@ -63,6 +63,7 @@ TITLE = re.compile(r"^\s*(?:(?:Art\.?\s*)?\d+(?:\.\d+)*\s+[A-ZÀ-Ý]|[A-ZÀ-Ý][
 
 _SHAPE = re.compile(r"[\w'’]*[^\W\d_][\w'’]*|\d+|[^\w\s]")
 _ODD_LETTERS = str.maketrans("@|!$€", "alise")
+_NOT_LAST = frozenset(".;:,!?" + HYPHENS)
 _FIRST = re.compile(r"[^\W\d_]{1,5}")
 _OUTER = "0123456789 \t\r–—-|[]()."
 _NO_DIGITS = {c: None for c in map(ord, _OUTER)}
@@ -71,7 +72,7 @@ _NO_DIGITS = {c: None for c in map(ord, _OUTER)}
 def may_be_header(line: str) -> str:
     """The line without outer blanks if it could be a running header by its ends, else ''."""
     x = line.strip()
-    if not 4 <= len(x) <= HEADER_LENGTH or x[-1] in ".;:,!?" or x[-1] in HYPHENS or not (x[0].isupper() or x[0].isdigit() or x[0] in "[(@|!$€") or LIST_ITEM.match(x):
+    if not 4 <= len(x) <= HEADER_LENGTH or not (x[0].isupper() or x[0].isdigit() or x[0] in "[(@|!$€") or x[-1] in _NOT_LAST or LIST_ITEM.match(x):
         return ""
     return x
 
@@ -116,6 +117,19 @@ def _expand(of: list[list[int]], ids: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))]
 
 
+_PARTS: dict[str, tuple[list[str], list[str]]] = {}  # of a worker; bounded
+
+
+def _words_of(part: str) -> tuple[list[str], list[str]]:
+    """Words and compounds of a blank-separated part."""
+    got = _PARTS.get(part)
+    if got is None:
+        got = TOKEN.findall(part), COMPOUND.findall(part) if "-" in part else []
+        if len(_PARTS) < 200_000:
+            _PARTS[part] = got
+    return got
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Kind 0: words, compounds ("a-b") and, as "word #", words that a number follows, with their counts.  Kind 1: the
     words of the texts of a batch by hash, 0 behind each text.  Kind 2: shapes, in texts in which some line recurs and
@@ -130,8 +144,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = t.casefold().split()
             for p in set(parts).difference(chunks):
                 chunks[p] = len(inside)
-                inside.append([known.setdefault(w, len(known)) for w in TOKEN.findall(p)])
-                if "-" in p and (found := COMPOUND.findall(p)):
+                words, found = _words_of(p)
+                inside.append([known.setdefault(w, len(known)) for w in words])
+                if found:
                     pairs[chunks[p]] = found
             ids.extend(map(chunks.__getitem__, parts))
             ids.append(0)
@@ -381,7 +396,8 @@ def learn(texts: DataFrame) -> Model:
     words = cut(read.where("kind = 0").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.where("not contains(word, ' ') and not contains(word, '-')").agg(F.sum("n")).first()[0] or 0
     floor = max(LEAST_COUNT, LEAST * total)
-    vocab = {r["word"]: r["n"] for r in words.where(F.col("n") >= floor).toLocalIterator()}  # at most a few / LEAST
+    usual = words.where(F.col("n") >= floor).toPandas()  # at most a few / LEAST
+    vocab = dict(zip(usual["word"], usual["n"].tolist()))
     plain = sorted((np.uint64(word_hash(w)).astype(np.int64), w) for w in vocab if " " not in w and "-" not in w)
     index = {w: i for i, (_, w) in enumerate(plain)}
     lines = read.where("kind = 2").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -395,7 +411,8 @@ def learn(texts: DataFrame) -> Model:
     m = Model(vocab, index, vectors, shapes)
     # a word that stands below the vocabulary has neighbours of less than RATIO times the floor: few words, few edits
     below = words.where((F.col("n") >= max(2.0, floor / RATIO)) & (F.col("n") < floor) & ~F.col("word").contains(" ") & ~F.col("word").contains("-"))
-    m.rare = {r["word"]: r["n"] for r in below.mapInPandas(_standing(m), "word string, n long").toLocalIterator()}
+    rare = below.mapInPandas(_standing(m), "word string, n long").toPandas()
+    m.rare = dict(zip(rare["word"], rare["n"].tolist()))
     m.memo = {}
     drop(read, words)
     return m
@@ -444,7 +461,7 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
             noise[i].add("header")
         elif line.strip():
             last = line
-    body = [i for i, line in enumerate(lines) if line.strip() and not noise[i]]
+    body = [i for i, line in enumerate(lines) if not noise[i] and line and not line.isspace()]
     skip_first = False
     for k, i in enumerate(body):
         line = lines[i]
