@@ -89,7 +89,8 @@ def shape(line: str) -> str:
 
 def recurring(lines: list[str]) -> dict[int, bool]:
     """Of the lines that may be headers: does the line, numbers apart, stand in the text more than once?"""
-    found = {i: x for i, line in enumerate(lines) if (x := may_be_header(line))}
+    # most lines begin with a small letter
+    found = {i: x for i, line in enumerate(lines) if line and not line[0].islower() and (x := may_be_header(line))}
     if len(found) < 2:
         return dict.fromkeys(found, False)
     heads = {i: m[0].casefold() if (m := _FIRST.search(x)) else "" for i, x in found.items()}
@@ -105,7 +106,7 @@ def _interrupts(lines: list[str], i: int) -> bool:
     return bool(before) and before[-1] not in ".;:!?" and after[:1].islower()
 
 
-READ = "kind int, word string, n long, m long, ids array<long>"
+READ = "kind int, word string, n long, m long, ids binary, hashes binary"
 
 
 def _expand(of: list[list[int]], ids: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def _words_of(part: str) -> tuple[list[str], list[str]]:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Kind 0: words, compounds ("a-b") and, as "word #", words that a number follows, with their counts.  Kind 1: the
-    words of the texts of a batch by hash, 0 behind each text.  Kind 2: shapes, in texts in which some line recurs and
+    words of the texts of a batch as numbers (int32, 0 behind each text) and the hashes of the numbered words (int64).  Kind 2: shapes, in texts in which some line recurs and
     interrupts, with their lines and lines that do so."""
     for b in batches:
         known: dict[str, int] = {"": 0}
@@ -179,7 +180,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m[-1 - len(shapes) : -1] = [k for _, k in shapes.values()]
             kind[-1 - len(shapes) : -1] = 2
         kind[-1] = 1
-        yield pd.DataFrame({"kind": kind, "word": names, "n": np.array(counts, np.int64), "m": m, "ids": [None] * (len(names) - 1) + [hashes[stream]]})
+        none = [None] * (len(names) - 1)
+        yield pd.DataFrame({"kind": kind, "word": names, "n": np.array(counts, np.int64), "m": m, "ids": none + [stream.astype(np.int32).tobytes()], "hashes": none + [hashes.tobytes()]})
 
 
 MOST_KEYS = 6_000_000  # pairs held before they are counted
@@ -196,9 +198,10 @@ def _pairs(hashes: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[np.ndarray] = []
         for b in batches:
-            for ids in b["ids"]:
-                at = np.minimum(np.searchsorted(hashes, ids), size - 1)
-                a = np.where(hashes[at] == ids, at, -1)
+            for numbers, mine in zip(b["ids"], b["hashes"]):
+                ids, own = np.frombuffer(numbers, np.int32), np.frombuffer(mine, np.int64)
+                at = np.minimum(np.searchsorted(hashes, own), size - 1)
+                a = np.where(hashes[at] == own, at, -1)[ids]
                 for k in range(1, WINDOW + 1):
                     x, y = a[:-k], a[k:]
                     ok = (x >= 0) & (y >= 0)
@@ -332,21 +335,18 @@ class Model:
         """Can a line that ends in this letter have a header's shape?  Words may end in digits."""
         return ("0" if last.isdigit() else "a" if last.isalpha() else last) in self.tails or (last.isdigit() and "a" in self.tails)
 
-    def clean(self, parts: list[str]) -> bool:
-        """All words of the blank-separated parts of a line stand and none ends in a hyphen or apostrophe; what was found
-        out is kept."""
-        if self.fine.issuperset(parts):
-            return True
-        ok = True
-        for p in parts:
-            if p not in self.fine:
-                words = TOKEN.findall(p)  # a 1 may be a misread l before an apostrophe only
-                if not words or p[-1] not in ENDINGS and "1'" not in p and "1’" not in p and all(w == "1" or self.good_word(w) for w in words):
-                    if len(self.fine) < 300_000:
-                        self.fine.add(p)
-                else:
-                    ok = False
-        return ok
+    def unclean(self, parts: set[str]) -> set[str]:
+        """Of blank-separated parts of a text those that end in a hyphen or apostrophe, or of which a word may not stand;
+        what was found out is kept."""
+        out = set()
+        for p in parts - self.fine:
+            words = TOKEN.findall(p)  # a 1 may be a misread l before an apostrophe only
+            if not words or p[-1] not in ENDINGS and "1'" not in p and "1’" not in p and all(w == "1" or self.good_word(w) for w in words):
+                if len(self.fine) < 300_000:
+                    self.fine.add(p)
+            else:
+                out.add(p)
+        return out
 
     def support(self, v: str, context: list[str]) -> float:
         """How far the context speaks for a word."""
@@ -406,7 +406,7 @@ def learn(texts: DataFrame) -> Model:
     shapes = frozenset(r["word"] for r in lines.where((F.length("word") >= 3) & (F.col("m") >= least) & (F.col("m") >= HEADER_SHARE * F.col("n"))).collect())
     vectors = None
     if plain:
-        near = read.where("kind = 1").select("ids").mapInPandas(_pairs(np.array([h for h, _ in plain], np.int64)), "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
+        near = read.where("kind = 1").select("ids", "hashes").mapInPandas(_pairs(np.array([h for h, _ in plain], np.int64)), "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
         vectors = train(near, len(plain))
     m = Model(vocab, index, vectors, shapes)
     # a word that stands below the vocabulary has neighbours of less than RATIO times the floor: few words, few edits
@@ -462,10 +462,13 @@ def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, l
         elif line.strip():
             last = line
     body = [i for i, line in enumerate(lines) if not noise[i] and line and not line.isspace()]
+    bad = m.unclean(set(text.split()))
+    if not bad:
+        return lines, noise, fixes, joins
     skip_first = False
     for k, i in enumerate(body):
         line = lines[i]
-        if not skip_first and m.clean(line.split()):
+        if not skip_first and bad.isdisjoint(line.split()):
             continue
         bare = line.rstrip()
         tail = len(bare) > 1 and bare[-1] in HYPHENS and (bare[-2].isalnum() or bare[-2] in "@$€")
