@@ -90,7 +90,7 @@ def shape(line: str) -> str:
 def recurring(lines: list[str]) -> dict[int, bool]:
     """Of the lines that may be headers: does the line, numbers apart, stand in the text more than once?"""
     # most lines begin with a small letter
-    found = {i: x for i, line in enumerate(lines) if line and not line[0].islower() and (x := may_be_header(line))}
+    found = {i: x for i, line in enumerate(lines) if line and not line[0].islower() and line[-1] not in _NOT_LAST and (x := may_be_header(line))}
     if len(found) < 2:
         return dict.fromkeys(found, False)
     heads = {i: m[0].casefold() if (m := _FIRST.search(x)) else "" for i, x in found.items()}
@@ -445,94 +445,112 @@ def _headers(lines: list[str], m: Model) -> set[int]:
     return out
 
 
-def inspect(text: str, m: Model) -> tuple[list[str], list[set[str]], dict[int, list[tuple[int, int, str]]], dict[int, bool]]:
+_NONE: frozenset[str] = frozenset()
+_ALONE = re.compile(r"'(?![^\W_])")  # an apostrophe that no letter follows
+
+
+def inspect(text: str, m: Model) -> tuple[list[str], list[set[str] | frozenset[str]], dict[int, list[tuple[int, int, str]]], dict[int, bool]]:
     """Lines, their noise, corrections by line as (start, end, word), and for lines ending in a hyphen whether the
     word goes on without it."""
     lines = text.split("\n")
-    noise: list[set[str]] = [set() for _ in lines]
+    noise: list[set[str] | frozenset[str]] = [_NONE] * len(lines)
     fixes: dict[int, list[tuple[int, int, str]]] = {}
     joins: dict[int, bool] = {}
+
+    def note(i: int, kind: str, start: int = -1, end: int = -1, word: str = "") -> None:
+        noise[i] = noise[i] | {kind}
+        if start >= 0:
+            fixes.setdefault(i, []).append((start, end, word))
+
     last = ""
     heads = _headers(lines, m)
+    body = []
     for i, line in enumerate(lines):
         if len(line) <= 32 and _is_page(line, last, m):
-            noise[i].add("page")
+            noise[i] = {"page"}
         elif i in heads:
-            noise[i].add("header")
-        elif line.strip():
+            noise[i] = {"header"}
+        elif line and not line.isspace():
             last = line
-    body = [i for i, line in enumerate(lines) if not noise[i] and line and not line.isspace()]
+            body.append(i)
     bad = m.unclean(set(text.split()))
-    if not bad:
-        return lines, noise, fixes, joins
     skip_first = False
-    for k, i in enumerate(body):
+    for k, i in enumerate(body) if bad else ():
         line = lines[i]
         if not skip_first and bad.isdisjoint(line.split()):
             continue
         bare = line.rstrip()
         tail = len(bare) > 1 and bare[-1] in HYPHENS and (bare[-2].isalnum() or bare[-2] in "@$€")
         toks = list(TOKEN.finditer(line))
-        nxt = body[k + 1] if k + 1 < len(body) else None
         start, skip_first = (1 if skip_first else 0), False
         stop = len(toks)
-        if tail and toks and nxt is not None:
+        if tail and toks and k + 1 < len(body):
+            nxt = body[k + 1]
             right = TOKEN.search(lines[nxt])
             if right and not lines[nxt][: right.start()].strip():
-                l, r = toks[-1][0].casefold(), right[0].casefold()
-                joined, pair = m.counts.get(l + r, 0), m.counts.get(f"{l}-{r}", 0)
-                known = m.counts.get(l, 0) >= LEAST_COUNT and m.counts.get(r, 0) >= LEAST_COUNT
-                divided = joined > pair or (pair == 0 and not (known and bare[-1] == "-" and len(l) > 3 and len(r) > 3 and not m.correct(l + r, [])))
-                joins[i] = divided
-                if divided:
-                    noise[i].add("hyphen")
-                    stop, skip_first = len(toks) - 1, True
-                    if not joined:
-                        ctx = [x[0].casefold() for x in toks[-1 - WINDOW : -1]]
-                        hit = m.correct(l + r, ctx)
-                        if hit or any(c in ODD for c in l + r):
-                            v, p = hit or (l + r, 0 if any(c in ODD for c in l) else len(l))
-                            at = i if p < len(l) else nxt
-                            noise[at].add("ocr")
-                            if hit and p < len(l):
-                                fixes.setdefault(i, []).append((*toks[-1].span(), _cased(toks[-1][0], v[: max(1, len(v) - len(r))])))
-                            elif hit:
-                                fixes.setdefault(nxt, []).append((right.start(), right.end(), v[len(l) :]))
+                joins[i] = skip_first = _divided(toks, bare[-1], right, i, nxt, note, m)
+                stop -= skip_first
+        odd = bool(_ALONE.search(line))
         low: list[str] = []
         for j in range(start, stop):
             w = toks[j][0]
+            if not odd and w in m.good:
+                continue
             s, e = toks[j].span()
-            if (w in m.good or m.good_word(w)) and line[e : e + 1] != "'":
+            if m.good_word(w) and line[e : e + 1] != "'":
                 continue
             low = low or [x[0].casefold() for x in toks]
-            if CODE.match(w):
-                if w == "1" and line[e : e + 1] in "'’" and line[e + 1 : e + 2].isalpha():
-                    noise[i].add("ocr")
-                    fixes.setdefault(i, []).append((s, e, "l"))
-                continue
-            x = low[j]
-            if any(c in LIGATURES for c in w):
-                noise[i].add("ocr")
-                fixes.setdefault(i, []).append((s, e, unicodedata.normalize("NFKC", w)))
-                continue
-            if line[e : e + 1] == "'" and not line[e + 1 : e + 2].isalnum() and x[-1] in ACCENTED:  # an accent read as an apostrophe
-                full = max((x[:-1] + c for c in ACCENTED[x[-1]]), key=lambda v: m.counts.get(v, 0))
-                if m.counts.get(full, 0) > 3 * m.counts.get(x, 0):
-                    noise[i].add("ocr")
-                    fixes.setdefault(i, []).append((s, e + 1, _cased(w, full)))
-                    continue
-            mixed = any(c in ODD for c in x)
-            if not mixed and m.usual(x):
-                continue
-            hit = m.correct(x, low[max(0, j - WINDOW) : j] + low[j + 1 : j + 1 + WINDOW])
-            if hit:
-                noise[i].add("ocr")
-                fixes.setdefault(i, []).append((s, e, _cased(w, hit[0])))
-            elif mixed and (sum(c.isalpha() for c in w) >= 2 and not w.isupper() or "@" in w):
-                noise[i].add("ocr")
+            _inspect_word(line, i, w, s, e, low, j, note, m)
     return lines, noise, fixes, joins
 
 
+def _divided(toks: list[re.Match], mark: str, right: re.Match, i: int, nxt: int, note, m: Model) -> bool:
+    """Does the hyphen at the end of a line divide a word?  Notes it, and a misreading in the joined word."""
+    left = toks[-1]
+    l, r = left[0].casefold(), right[0].casefold()
+    joined, pair = m.counts.get(l + r, 0), m.counts.get(f"{l}-{r}", 0)
+    known = m.counts.get(l, 0) >= LEAST_COUNT and m.counts.get(r, 0) >= LEAST_COUNT
+    if not (joined > pair or (pair == 0 and not (known and mark == "-" and len(l) > 3 and len(r) > 3 and not m.correct(l + r, [])))):
+        return False
+    note(i, "hyphen")
+    if not joined:
+        hit = m.correct(l + r, [x[0].casefold() for x in toks[-1 - WINDOW : -1]])
+        odd = any(c in ODD for c in l + r)
+        if hit and hit[1] < len(l):
+            note(i, "ocr", *left.span(), _cased(left[0], hit[0][: max(1, len(hit[0]) - len(r))]))
+        elif hit:
+            note(nxt, "ocr", right.start(), right.end(), hit[0][len(l) :])
+        elif odd:
+            note(i if any(c in ODD for c in l) else nxt, "ocr")
+    return True
+
+
+def _inspect_word(line: str, i: int, w: str, s: int, e: int, low: list[str], j: int, note, m: Model) -> None:
+    """Notes a misreading of the word ``w`` at ``s`` to ``e``, the ``j``-th of the line."""
+    after = line[e : e + 1]
+    if CODE.match(w):
+        if w == "1" and after and after in "'’" and line[e + 1 : e + 2].isalpha():
+            note(i, "ocr", s, e, "l")
+        return
+    x = low[j]
+    if any(c in LIGATURES for c in w):
+        note(i, "ocr", s, e, unicodedata.normalize("NFKC", w))
+        return
+    if after == "'" and not line[e + 1 : e + 2].isalnum() and x[-1] in ACCENTED:  # an accent read as an apostrophe
+        full = max((x[:-1] + c for c in ACCENTED[x[-1]]), key=lambda v: m.counts.get(v, 0))
+        if m.counts.get(full, 0) > 3 * m.counts.get(x, 0):
+            note(i, "ocr", s, e + 1, _cased(w, full))
+            return
+    mixed = any(c in ODD for c in x)
+    if not mixed and m.usual(x):
+        return
+    hit = m.correct(x, low[max(0, j - WINDOW) : j] + low[j + 1 : j + 1 + WINDOW])
+    if hit:
+        note(i, "ocr", s, e, _cased(w, hit[0]))
+    elif mixed and (sum(c.isalpha() for c in w) >= 2 and not w.isupper() or "@" in w):
+        note(i, "ocr")
+
+
 def _cased(was: str, now: str) -> str:
     return now.upper() if was.isupper() and len(was) > 1 else now.capitalize() if was[:1].isupper() else now
 
