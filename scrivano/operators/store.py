@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scrivano.functions import text as T
+from scrivano.session import cut
+from scrivano.session import drop as drop_cut
 
 
 def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -25,12 +27,17 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str) -> int:
-    """Insert if absent; returns the number of rows added."""
-    spark = rows.sparkSession
-    out = new_rows(rows, read(spark, path, rows.schema))
-    before = read(spark, path, rows.schema).count()
-    out.select(*rows.columns).write.mode("append").parquet(path)
-    return read(spark, path, rows.schema).count() - before
+    """Insert if absent; returns the number of rows added.
+
+    The new rows are written once beside the store and counted there.  One writer at a time: two that run at once may
+    both add an id (the stream has one, and micro-batches follow each other).
+    """
+    out = cut(new_rows(rows, read(rows.sparkSession, path, rows.schema)).select(*rows.columns))
+    n = out.count()
+    if n:
+        out.write.mode("append").parquet(path)
+    drop_cut(out)
+    return n
 
 
 def populate(rows: DataFrame, path: str) -> bool:

@@ -298,6 +298,11 @@ def truncated_texts(spark, d):
     return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), T.truncate(F.col("text"), 650).alias("text"))
 
 
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 1000 THEN t ELSE left(t, 750) || chr(10) || chr(10) || '...[TRUNCATED]...' || chr(10) || chr(10) || right(t, 250) END AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {strip_sql('text')} AS t FROM documents WHERE text IS NOT NULL)")
+def trimmed_texts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), T.trim_section(F.col("text"), 1000).alias("text"))
+
+
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 
 
@@ -385,7 +390,7 @@ def _goes(c: str) -> str:
 
 
 @query(f"""WITH {LINES_SQL}, w AS (SELECT doc_id, line_no, {strip_sql('line')} AS s, {strip_sql("lead(line, 1, '') OVER (PARTITION BY doc_id ORDER BY line_no)")} AS l1, {strip_sql("lead(line, 2, '') OVER (PARTITION BY doc_id ORDER BY line_no)")} AS l2 FROM lns)
-SELECT doc_id, line_no, CASE WHEN {_goes('l1')} AND {_goes('l2')} THEN s || ' ' || l1 || ' ' || l2 WHEN {_goes('l1')} THEN s || ' ' || l1 ELSE s END AS text FROM w WHERE {DEFLINE_SQL} AND length(s) >= 8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 260""")
+SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, CASE WHEN {_goes('l1')} AND {_goes('l2')} THEN s || ' ' || l1 || ' ' || l2 WHEN {_goes('l1')} THEN s || ' ' || l1 ELSE s END AS text FROM w WHERE {DEFLINE_SQL}) WHERE length(text) >= 8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 260""")
 def definition_candidates(spark, d):
     return definitions.candidates(_lines(spark, d))
 
@@ -401,7 +406,7 @@ def definition_patterns(spark, d):
 
 
 @query(rf"""WITH {LINES_SQL}, w AS (SELECT doc_id, line_no, {strip_sql('line')} AS s, {strip_sql("lead(line, 1, '') OVER (PARTITION BY doc_id ORDER BY line_no)")} AS l1, {strip_sql("lead(line, 2, '') OVER (PARTITION BY doc_id ORDER BY line_no)")} AS l2 FROM lns),
-ca AS (SELECT doc_id, line_no, CASE WHEN {_goes('l1')} AND {_goes('l2')} THEN s || ' ' || l1 || ' ' || l2 WHEN {_goes('l1')} THEN s || ' ' || l1 ELSE s END AS text FROM w WHERE {DEFLINE_SQL} AND length(s) >= 8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 260),
+ca AS (SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, CASE WHEN {_goes('l1')} AND {_goes('l2')} THEN s || ' ' || l1 || ' ' || l2 WHEN {_goes('l1')} THEN s || ' ' || l1 ELSE s END AS text FROM w WHERE {DEFLINE_SQL}) WHERE length(text) >= 8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 260),
 an AS (SELECT doc_id, line_no, regexp_extract(text, {_re2(L.TERM_PATTERNS[3])}, 1) AS t, regexp_extract(text, {_re2(L.TERM_PATTERNS[3])}, 2) AS x FROM ca), va AS (SELECT doc_id, line_no, {_TERM} AS term, left({squeeze_sql('x')}, 1200) AS definition FROM an WHERE t <> ''),
 ok AS (SELECT *, lower({squeeze_sql('term')}) AS k FROM va WHERE length(term) BETWEEN 2 AND 60 AND length(definition) >= 8 AND NOT regexp_matches(term, {_q('(?i)' + L.DEF_BAD_TERM)})),
 kl AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY length(definition) DESC, line_no) = 1)
@@ -413,6 +418,29 @@ def extracted_definitions(spark, d):
     return extraction.extract(lns, none, pipeline.rules(), "guided").select("doc_id", "line_no", "term", "definition", "rank")
 
 
+DERIVED_SQL = rf"""
+{_DEFS}, lns AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY def_id) - 1 AS line_no, replace(upper({squeeze_sql('term')}), ' ', '_') || ': ' || {squeeze_sql('definition')} AS line FROM d WHERE {squeeze_sql("coalesce(term, '')")} <> '' AND {squeeze_sql("coalesce(definition, '')")} <> '')"""
+
+
+def _derived_lines(spark, d) -> DataFrame:
+    """The recorded definitions as lines "TERM: definition", one document's after each other."""
+    t, x = T.squeeze(F.coalesce("term", F.lit(""))), T.squeeze(F.coalesce("definition", F.lit("")))
+    r = _defs(spark, d).select("doc_id", "def_id", t.alias("t"), x.alias("x")).where("t <> '' and x <> ''")
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("def_id")) - 1
+    return r.select("doc_id", no.alias("line_no"), F.concat(F.replace(F.upper("t"), F.lit(" "), F.lit("_")), F.lit(": "), "x").alias("line"))
+
+
+@query(SQL["definition_candidates"].replace(LINES_SQL, DERIVED_SQL))
+def derived_definition_candidates(spark, d):
+    return definitions.candidates(_derived_lines(spark, d))
+
+
+@query(SQL["extracted_definitions"].replace(LINES_SQL, DERIVED_SQL))
+def derived_definitions(spark, d):
+    none = spark.createDataFrame([], "doc_id string, sec_idx int, start_line int, end_line int, title string, path string, section_id string")
+    return extraction.extract(_derived_lines(spark, d), none, pipeline.rules(), "guided").select("doc_id", "line_no", "term", "definition", "rank")
+
+
 @query(rf"""WITH {_DEFS}, t AS (SELECT doc_id, def_id, definition, {strip_sql('lower(term)')} AS k FROM d WHERE definition IS NOT NULL), f AS (SELECT doc_id, k, min_by(definition, def_id) AS definition FROM t WHERE k <> '' GROUP BY doc_id, k),
 a AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(allowed_agents) AS term FROM prompt_blocks)) SELECT a.doc_id, a.term, f.definition FROM (SELECT * FROM a WHERE term IS NOT NULL) a LEFT JOIN f ON f.doc_id = a.doc_id AND f.k = {strip_sql('lower(a.term)')}""")
 def matched_definitions(spark, d):
@@ -677,8 +705,8 @@ def _title_lists(spark, d) -> tuple[DataFrame, DataFrame]:
 def _match_sql(least: float) -> str:
     """Best token F1 of every gold item of ``g``, the first prediction of ``p`` on ties; a prediction serves once."""
     return f"""gt AS (SELECT key, idx AS gi, list_distinct(list_filter(string_split({_strong_sql('text')}, ' '), lambda x: x <> '')) AS gt FROM g), pt AS (SELECT key, idx AS pi, list_distinct(list_filter(string_split({_strong_sql('text')}, ' '), lambda x: x <> '')) AS pt FROM p),
-pr AS (SELECT gt.key, gi, pi, 2 * len(list_intersect(gt, pt)) / (len(gt) + len(pt))::DOUBLE AS s FROM gt JOIN pt USING (key) WHERE len(list_intersect(gt, pt)) > 0),
-be AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY key, gi ORDER BY s DESC, pi) = 1), us AS (SELECT key, pi, min(gi) AS gi FROM be WHERE s >= {least}::DOUBLE GROUP BY key, pi), nm AS (SELECT key, count(*) AS matched FROM us GROUP BY key),
+mp AS (SELECT gt.key, gi, pi, 2 * len(list_intersect(gt, pt)) / (len(gt) + len(pt))::DOUBLE AS s FROM gt JOIN pt USING (key) WHERE len(list_intersect(gt, pt)) > 0),
+be AS (SELECT * FROM mp QUALIFY row_number() OVER (PARTITION BY key, gi ORDER BY s DESC, pi) = 1), us AS (SELECT key, pi, min(gi) AS gi FROM be WHERE s >= {least}::DOUBLE GROUP BY key, pi), nm AS (SELECT key, count(*) AS matched FROM us GROUP BY key),
 ba AS (SELECT coalesce(a.key, b.key) AS key, coalesce(golds, 0) AS golds, coalesce(preds, 0) AS preds, coalesce(matched, 0) AS matched FROM (SELECT key, count(*) AS golds FROM gt GROUP BY key) a FULL OUTER JOIN (SELECT key, count(*) AS preds FROM pt GROUP BY key) b ON a.key = b.key LEFT JOIN nm ON nm.key = coalesce(a.key, b.key)),
 sc AS (SELECT *, CASE WHEN preds > 0 THEN matched / preds::DOUBLE ELSE 0 END AS p, CASE WHEN golds > 0 THEN matched / golds::DOUBLE ELSE 0 END AS r FROM ba)"""
 
@@ -735,6 +763,14 @@ def title_containment(spark, d):
     return r.select("procedure_id", F.round(evaluation.containment(T.tokens(F.col("section_title")), T.tokens(F.col("section_path"))), 6).alias("containment"))
 
 
+@query(rf"""WITH t AS (SELECT procedure_id, list_distinct(list_filter(string_split({_strong_sql('section_title')}, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split({_strong_sql('section_path')}, ' '), lambda x: x <> '')) AS b
+FROM (SELECT DISTINCT procedure_id, section_title, section_path FROM procedure_records WHERE section_title IS NOT NULL AND section_path IS NOT NULL)), n AS (SELECT procedure_id, len(a) AS a, len(b) AS b, len(list_intersect(a, b)) AS n FROM t)
+SELECT procedure_id, round(CASE WHEN a = 0 AND b = 0 THEN 1.0::DOUBLE WHEN n = 0 THEN 0.0::DOUBLE ELSE 2 * (n / b::DOUBLE) * (n / a::DOUBLE) / (n / b::DOUBLE + n / a::DOUBLE) END, 6) AS f1 FROM n""")
+def title_f1(spark, d):
+    r = table(spark, d, "procedure_records").where("section_title is not null and section_path is not null").select("procedure_id", "section_title", "section_path").distinct()
+    return r.select("procedure_id", F.round(evaluation.token_f1(T.tokens(F.col("section_title")), T.tokens(F.col("section_path"))), 6).alias("f1"))
+
+
 @query(rf"""WITH t AS (SELECT procedure_id, len(list_filter(string_split({_strong_sql('section_title')}, ' '), lambda x: x <> '')) AS a, len(list_filter(string_split({_strong_sql('section_path')}, ' '), lambda x: x <> '')) AS b
 FROM (SELECT DISTINCT procedure_id, section_title, section_path FROM procedure_records WHERE section_title IS NOT NULL AND section_path IS NOT NULL)) SELECT procedure_id, round(power(least(greatest(a, 1), greatest(b, 1)) / greatest(a, b, 1)::DOUBLE, 0.6::DOUBLE), 6) AS damping FROM t""")
 def title_damping(spark, d):
@@ -826,7 +862,9 @@ def canonical_predictions(spark, d):
     return evaluation.canonicalize_agents(a, al)
 
 
-@query()
+@query(rf"""WITH {STEPS_SQL}, g AS (SELECT procedure_id AS key, pos AS idx, s AS text FROM s0), tx AS (SELECT DISTINCT procedure_id, string_split(original_text_full, chr(10)) AS ls FROM diagram_procedures WHERE original_text_full IS NOT NULL),
+p AS (SELECT procedure_id AS key, i AS idx, regexp_replace(ls[i], {_q(L.BULLET)}, '') AS text FROM tx, unnest(generate_series(1, len(ls))) AS t(i) WHERE regexp_matches(ls[i], {_q(L.BULLET)})), {_match_sql(0.6)}
+SELECT key, golds, preds, matched, {_SCORES}, CASE WHEN matched > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS agent_accuracy FROM sc""")
 def step_scores(spark, d):
     """Recorded steps as gold against the list items of the procedure's own text."""
     g = _steps(spark, d).select(F.col("procedure_id").alias("key"), F.col("step_idx").alias("idx"), F.col("description_synthetic").alias("text"), "agent")

@@ -56,4 +56,46 @@ def test_readers(spark, tmp_path):
     (g / "gold_agents.txt").write_text("S.U.A.P. | Sportello Unico\nRichiedente", encoding="utf-8")
     (g / "gold_procedures.txt").write_text("-----\nuno\n-----\ndue", encoding="utf-8")
     assert {(r.group_id, r.alias) for r in readers.gold_agents(spark, str(g / "gold_agents.txt")).collect()} == {(0, "suap"), (0, "sportello unico"), (1, "richiedente")}
+    (g / "gold_titles.txt").write_text("Uno  due\n\nTre\r\n", encoding="utf-8")
+    (g / "gold_agents_by_procedure.txt").write_text("suap, S.U.A.P.\nrichiedente\n-----\ncomune", encoding="utf-8")
+    assert [(r.doc, r.idx, r.title) for r in readers.gold_titles(spark, str(g / "gold_titles.txt")).collect()] == [("doc1", 0, "Uno due"), ("doc1", 1, "Tre")]
+    assert {(r.proc_idx, r.agent) for r in readers.gold_agents_by_procedure(spark, str(g / "gold_agents_by_procedure.txt")).collect()} == {(0, "suap"), (0, "richiedente"), (1, "comune")}
     assert [r.text for r in readers.gold_procedures(spark, str(g / "gold_procedures.txt")).orderBy("idx").collect()] == ["uno", "due"]
+
+
+def test_json_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, "è")], "doc_id string, n int, t string")
+    for _ in range(2):  # a second write replaces the first
+        readers.write_json(df, str(tmp_path / "j"))
+    back = readers.read_json(spark, str(tmp_path / "j" / "doc_id=b"), df.drop("doc_id").schema).collect()
+    assert [(r.n, r.t) for r in back] == [(2, "è")]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "x.diagram_procedures.json").write_text("[]")
+    assert [r.doc_id for r in readers.diagram_files(spark, str(tmp_path)).collect()] == ["x"]
+
+
+def test_ocr_falls_back(monkeypatch):
+    monkeypatch.setattr(readers, "pdf_text", lambda data: "testo proprio")
+    fail = lambda data: 1 / 0
+    assert readers.decode("a.PDF", b"", lambda data: " pagina uno\n")[0] == "pagina uno"
+    assert readers.decode("a.pdf", b"", fail)[0] == "testo proprio" == readers.decode("a.pdf", b"", lambda data: " ")[0] == readers.decode("a.pdf", b"")[0]
+
+
+def test_entry_stands_without_the_subpackage(monkeypatch):
+    """A missing dependency of the optional part leaves the core queries."""
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def without(name, *args, **kw):
+        if name.split(".")[0] == "xxhash":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args, **kw)
+
+    for m in [m for m in sys.modules if m.startswith("scrivano.llm") or m == "xxhash"]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert set(entry.queries()) == set(catalogue.queries()) and set(entry.oracle_sql()) == set(catalogue.oracle_sql())

@@ -90,3 +90,24 @@ def test_text(spark):
 )
 def test_first_json(text, want):
     assert T.first_json(text) == want
+
+
+def _acronyms(s):
+    """Every dotted acronym of three letters or more loses its full stops."""
+    import re
+
+    for m in re.findall(r"(?i)\b(?:[a-z]\.\s*){2,}[a-z]\.?(?!\w)", s):
+        s = s.replace(m, re.sub("[^a-zA-Z]", "", m).lower())
+    return s
+
+
+def test_normalize_agent_against_brute_force(spark, data):
+    import re
+
+    rows = spark.read.parquet(f"{data}/prompt_blocks.parquet").select(F.explode("allowed_agents").alias("a")).where("a is not null").distinct().select("a", T.normalize_agent(F.col("a")).alias("n")).collect()
+    extra = ["S.U.A.P. di Roma", "c.c.i.a.a.", "A. S. L. 2", "P.Z.", "s.r.l.", "", "  ", "Uff.\tTecnico"]
+    rows += spark.createDataFrame([(x,) for x in extra], "a string").select("a", T.normalize_agent(F.col("a")).alias("n")).collect()
+    assert len(rows) > 50
+    for r in rows:
+        want = re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", _acronyms(re.sub(r"[ \u00a0\t]+", " ", r.a).strip().lower()))).strip()
+        assert r.n == want, r.a
