@@ -20,10 +20,11 @@ Reflow then drops the furniture, joins divided words, puts corrections in and jo
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,70 +119,74 @@ def _expand(of: list[list[int]], ids: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))]
 
 
-_PARTS: dict[str, tuple[list[str], list[str]]] = {}  # of a worker; bounded
+def _acyclic(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``work`` on every batch, without searches for reference cycles meanwhile: it makes many small objects and none."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            gc.disable()
+            try:
+                out = work(b)
+            finally:
+                gc.enable()
+            yield out
 
-def _words_of(part: str) -> tuple[list[str], list[str]]:
-    """Words and compounds of a blank-separated part."""
-    got = _PARTS.get(part)
-    if got is None:
-        got = TOKEN.findall(part), COMPOUND.findall(part) if "-" in part else []
-        if len(_PARTS) < 200_000:
-            _PARTS[part] = got
-    return got
+    return run
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_batch(b: pd.DataFrame) -> pd.DataFrame:
     """Kind 0: words, compounds ("a-b") and, as "word #", words that a number follows, with their counts.  Kind 1: the
     words of the texts of a batch as numbers (int32, 0 behind each text) and the hashes of the numbered words (int64).  Kind 2: shapes, in texts in which some line recurs and
     interrupts, with their lines and lines that do so."""
-    for b in batches:
-        known: dict[str, int] = {"": 0}
-        chunks: dict[str, int] = {"": 0}  # blank-separated parts and their words
-        inside, pairs = [[0]], {}
-        shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        ids: list[int] = []
-        for t in b["text"]:
-            parts = t.casefold().split()
-            for p in set(parts).difference(chunks):
-                chunks[p] = len(inside)
-                words, found = _words_of(p)
-                inside.append([known.setdefault(w, len(known)) for w in words])
-                if found:
-                    pairs[chunks[p]] = found
-            ids.extend(map(chunks.__getitem__, parts))
-            ids.append(0)
-            lines = t.split("\n")
-            again = recurring(lines)
-            furniture = {i for i, twice in again.items() if twice and _interrupts(lines, i)}
-            for i in again if furniture else ():
-                s = shapes[shape(lines[i])]
-                s[0] += 1
-                s[1] += i in furniture
-        stream = np.asarray(ids, np.int64)
-        chunk_n = np.bincount(stream, minlength=len(inside))
-        stream = _expand(inside, stream)
-        words = np.array(list(known), object)
-        number = np.fromiter((w.isdigit() for w in known), bool, len(words))
-        number[0] = True  # the end of a text
-        total = np.bincount(stream, minlength=len(words))
-        called = np.bincount(stream[:-1][number[stream[1:]] & (stream[1:] > 0)], minlength=len(words))
-        plain, before = np.flatnonzero(~number), np.flatnonzero((called > 0) & ~number)
-        compounds: Counter = Counter()
-        for i, found in pairs.items():
-            for x in found:
-                compounds[x] += int(chunk_n[i])
-        hashes = np.array([0, *map(word_hash, words[1:])], np.uint64).view(np.int64)
-        names = [*words[plain], *(words[before] + " #"), *compounds, *shapes, None]
-        counts = [*total[plain], *called[before], *compounds.values(), *(n for n, _ in shapes.values()), 0]
-        m = np.zeros(len(names), np.int64)
-        kind = np.zeros(len(names), np.int32)
-        if shapes:
-            m[-1 - len(shapes) : -1] = [k for _, k in shapes.values()]
-            kind[-1 - len(shapes) : -1] = 2
-        kind[-1] = 1
-        none = [None] * (len(names) - 1)
-        yield pd.DataFrame({"kind": kind, "word": names, "n": np.array(counts, np.int64), "m": m, "ids": none + [stream.astype(np.int32).tobytes()], "hashes": none + [hashes.tobytes()]})
+    known: dict[str, int] = {"": 0}
+    chunks: dict[str, int] = {"": 0}  # blank-separated parts and their words
+    inside, pairs = [[0]], {}
+    shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    ids: list[int] = []
+    for t in b["text"]:
+        parts = t.casefold().split()
+        for p in set(parts).difference(chunks):
+            chunks[p] = len(inside)
+            inside.append([known.setdefault(w, len(known)) for w in TOKEN.findall(p)])
+            if "-" in p and (found := COMPOUND.findall(p)):
+                pairs[chunks[p]] = found
+        ids.extend(map(chunks.__getitem__, parts))
+        ids.append(0)
+        lines = t.split("\n")
+        again = recurring(lines)
+        furniture = {i for i, twice in again.items() if twice and _interrupts(lines, i)}
+        for i in again if furniture else ():
+            s = shapes[shape(lines[i])]
+            s[0] += 1
+            s[1] += i in furniture
+    stream = np.asarray(ids, np.int64)
+    chunk_n = np.bincount(stream, minlength=len(inside))
+    stream = _expand(inside, stream)
+    words = np.array(list(known), object)
+    number = np.fromiter((w.isdigit() for w in known), bool, len(words))
+    number[0] = True  # the end of a text
+    total = np.bincount(stream, minlength=len(words))
+    called = np.bincount(stream[:-1][number[stream[1:]] & (stream[1:] > 0)], minlength=len(words))
+    plain, before = np.flatnonzero(~number), np.flatnonzero((called > 0) & ~number)
+    compounds: Counter = Counter()
+    for i, found in pairs.items():
+        for x in found:
+            compounds[x] += int(chunk_n[i])
+    hashes = np.array([0, *map(word_hash, words[1:])], np.uint64).view(np.int64)
+    names = [*words[plain], *(words[before] + " #"), *compounds, *shapes, None]
+    counts = [*total[plain], *called[before], *compounds.values(), *(n for n, _ in shapes.values()), 0]
+    m = np.zeros(len(names), np.int64)
+    kind = np.zeros(len(names), np.int32)
+    if shapes:
+        m[-1 - len(shapes) : -1] = [k for _, k in shapes.values()]
+        kind[-1 - len(shapes) : -1] = 2
+    kind[-1] = 1
+    none = [None] * (len(names) - 1)
+    return pd.DataFrame({"kind": kind, "word": names, "n": np.array(counts, np.int64), "m": m, "ids": none + [stream.astype(np.int32).tobytes()], "hashes": none + [hashes.tobytes()]})
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _acyclic(_read_batch)(batches)
 
 
 MOST_KEYS = 6_000_000  # pairs held before they are counted
@@ -584,23 +589,19 @@ def reflow(text: str, m: Model) -> str:
 
 
 def _classify(m: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for src, key, text in zip(b["src"], b["item_key"], b["text"]):
-                for i, kinds in enumerate(inspect(text, m)[1]):
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for src, key, text in zip(b["src"], b["item_key"], b["text"]):
+            for i, kinds in enumerate(inspect(text, m)[1]):
+                if kinds:
                     rows.extend((src, key, i, k) for k in sorted(kinds))
-            yield pd.DataFrame(rows, columns=["src", "item_key", "line_no", "noise"])
+        return pd.DataFrame(rows, columns=["src", "item_key", "line_no", "noise"])
 
-    return run
+    return _acyclic(work)
 
 
 def _reflowed(m: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"src": b["src"], "item_key": b["item_key"], "text": [reflow(t, m) for t in b["text"]]})
-
-    return run
+    return _acyclic(lambda b: pd.DataFrame({"src": b["src"], "item_key": b["item_key"], "text": [reflow(t, m) for t in b["text"]]}))
 
 
 def noisy_lines(items: DataFrame, model: Model | None = None) -> DataFrame:
