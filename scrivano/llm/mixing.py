@@ -6,10 +6,10 @@ of the corpus, no weight above the source's ``max_repeats``.  The total is the l
 present can reach its share.  A document then gets floor(weight) copies and one more by systematic sampling inside hash
 buckets of its cell, by calibrated probability; the last rounding error of a source stays below one document a bucket.
 
-Topics come from the corpus: ``Topics.fit`` clusters about ``SAMPLE`` documents, chosen by hash, by the directions of
-their token counts (hashed to ``WIDTH`` buckets, weighted by inverse document frequency), and every document gets the
-topic nearest to all of its tokens in the pass that counts them.  Languages below ``LEAST_LANGUAGE`` of the tokens are
-raked together, so that cells are bounded by the listed sources times 1 / ``LEAST_LANGUAGE`` times ``TOPICS``.
+Topics come from the corpus: every document is tokenized once and its counts (hashed to ``WIDTH`` buckets) are written;
+all of them are clustered (``scrivano.llm.topics``), and every document gets the topic nearest to all of its tokens.
+Languages below ``LEAST_LANGUAGE`` of the tokens are raked together, so that cells are bounded by the listed sources times
+1 / ``LEAST_LANGUAGE`` times ``TOPICS``.
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivano.llm.topics import TOPICS, WIDTH, Topics, blocks, counts_batch, learn, row_bytes  # noqa: F401
 from scrivano.session import cut, maybe_broadcast
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKET_ROWS, ROUNDS = 2_000, 60
-SAMPLE, WIDTH, TOPICS, FITS = 2_000, 2_048, 12, 8
 LEAST_LANGUAGE, REST = 0.001, "other"
 
 
@@ -53,82 +53,34 @@ def _encoder(folder: str, vocabulary: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt(np.square(x).sum(1, keepdims=True)), 1e-9)
-
-
-class Topics(NamedTuple):
-    """Weight of every token bucket for every topic (``WIDTH`` x topics); none without documents."""
-
-    table: np.ndarray
-
-    def of(self, ids: np.ndarray) -> int:
-        """The topic of a document by all of its tokens, the least on ties; -1 where nothing tells."""
-        if not len(ids) or not self.table.shape[1]:
-            return -1
-        score = self.table[ids % WIDTH].sum(0)
-        return int(score.argmax()) if score.max() > 0 else -1
-
-    @staticmethod
-    def fit(counts: np.ndarray, topics: int = TOPICS, rounds: int = FITS) -> Topics:
-        """Spherical k-means of token bucket counts (documents x ``WIDTH``).  It starts from principal direction divisive
-        partitioning: the largest cluster is split where its members project on either side of their mean."""
-        x = counts[counts.sum(1) > 0].astype(np.float64)
-        if not len(x):
-            return Topics(np.zeros((WIDTH, 0), np.float32))
-        idf = np.log(len(x) / np.maximum((x > 0).sum(0), 1))
-        x = _unit(x * idf)
-        parts = [np.arange(len(x))]
-        while len(parts) < topics:
-            big = max(range(len(parts)), key=lambda k: len(parts[k]))
-            y = x[parts[big]] - x[parts[big]].mean(0)
-            v = y[np.square(y).sum(1).argmax()]
-            for _ in range(30):
-                v = y.T @ (y @ v)
-                v /= max(float(np.sqrt(v @ v)), 1e-12)
-            side = y @ v > 0
-            if side.all() or not side.any():
-                break
-            parts[big : big + 1] = [parts[big][side], parts[big][~side]]
-        c = _unit(np.stack([x[p].sum(0) for p in parts]))
-        for _ in range(rounds):
-            label = (x @ c.T).argmax(1)
-            c = _unit(np.stack([x[label == k].sum(0) if (label == k).any() else c[k] for k in range(len(c))]))
-        return Topics((c * idf).T.astype(np.float32))
+def counted(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
+    """Column function of a text: its ``tokens``, and ``b`` and ``n`` of its row."""
 
+    def run(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = _encoder(folder, vocabulary)
+        for s in text:
+            ids = [np.asarray(enc.encode_ordinary(t) if t else [], np.int64) for t in s]
+            rows = [row_bytes(x) for x in ids]
+            yield pd.DataFrame({"tokens": np.array([len(x) for x in ids], np.int64), "b": [b for b, _ in rows], "n": [n for _, n in rows]})
 
-def learn_topics(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> Topics:
-    """Topics of about ``sample`` documents (at most twice as many), chosen by the hash of ``doc_id``."""
+    run.__annotations__ = {"text": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "tokens long, b binary, n binary")
 
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(folder, vocabulary)
-        for b in batches:
-            rows = []
-            for i, t in zip(b["h"], b["text"]):
-                u, n = np.unique(np.asarray(enc.encode_ordinary(t)) % WIDTH, return_counts=True)
-                rows.append((i, u.tolist(), n.tolist()))
-            yield pd.DataFrame(rows, columns=["h", "b", "n"])
 
-    d = documents.where(F.col("text").rlike(r"(?U)\S")).select(F.xxhash64("doc_id").alias("h"), "text")
-    every = max(1, documents.count() // sample)
-    rows = d.where(F.pmod("h", F.lit(every)) == 0).mapInPandas(buckets, "h long, b array<int>, n array<int>").limit(2 * sample).toPandas().sort_values("h", kind="stable")
-    counts = np.zeros((len(rows), WIDTH), np.float32)
-    for k, (b, n) in enumerate(zip(rows["b"], rows["n"])):
-        counts[k, b] = n
-    return Topics.fit(counts)
+def told(topics: Topics):
+    """Column function of a row's ``b`` and ``n``: its topic."""
 
+    def run(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for b, n in rows:
+            yield pa.array(np.concatenate([np.zeros(0, np.int32), *(topics.of_rows(x) for x in blocks(counts_batch(b, n)))]), pa.int32())
 
-def counted(topics: Topics, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """Column function of a text: its ``tokens`` and ``topic``."""
+    run.__annotations__ = {"rows": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "int")
 
-    def run(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(folder, vocabulary)
-        for s in text:
-            ids = [np.asarray(enc.encode_ordinary(t), np.int64) if t else np.zeros(0, np.int64) for t in s]
-            yield pd.DataFrame({"tokens": np.array([len(x) for x in ids], np.int64), "topic": np.array([topics.of(x) for x in ids], np.int32)})
 
-    run.__annotations__ = {"text": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "tokens long, topic int")
+def learn_topics(rows: DataFrame) -> Topics:
+    """Topics of all documents of ``counted_rows`` that aren't blank."""
+    return learn(rows.where("worded"))
 
 
 def rake(cells: pd.DataFrame, shares: dict[str, float], caps: dict[str, int], rounds: int = ROUNDS) -> tuple[pd.DataFrame, float]:
@@ -174,12 +126,19 @@ def _to_source(w, tok, cap, key, want):
     return w
 
 
-def sized(documents: DataFrame, topics: Topics, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    return documents.select("doc_id", normal_source(F.col("source")).alias("source"), normal_lang(F.col("lang")).alias("lang"), counted(topics, folder, vocabulary)("text").alias("c")).select(
-        "doc_id", "source", "lang", "c.topic", "c.tokens"
+def counted_rows(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    worded = F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
+    return documents.select("doc_id", normal_source(F.col("source")).alias("source"), normal_lang(F.col("lang")).alias("lang"), worded.alias("worded"), counted(folder, vocabulary)("text").alias("c")).select(
+        "doc_id", "source", "lang", "worded", "c.tokens", "c.b", "c.n"
     )
 
 
+def sized(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A cut of every document with its topic and tokens; the rows it is told from are removed."""
+    rows = cut(counted_rows(documents, folder, vocabulary))
+    return cut(rows.select("doc_id", "source", "lang", told(learn_topics(rows))("b", "n").alias("topic"), "tokens"), rows)
+
+
 def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
@@ -192,7 +151,7 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, voca
     add to 1.  The report is one row per name and bounded as the cells are.
     """
     spark = documents.sparkSession
-    docs = cut(sized(documents, learn_topics(documents, folder, vocabulary), folder, vocabulary))
+    docs = sized(documents, folder, vocabulary)
     t = targets.where("source is not null").select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     goal = t.toPandas()
     listed = docs.join(maybe_broadcast(t.select("source")), "source", "left_semi")

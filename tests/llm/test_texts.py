@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scrivano.llm import leakage, mixing, repetition, scans, segment
+from scrivano.llm import leakage, mixing, repetition, scans, segment, topics
 from scrivano.llm import tokens as K
 
 
@@ -277,6 +277,37 @@ def test_topics():
     assert t.of(np.array([5, 6])) == t.of(np.array([7] * 9)) != t.of(np.array([9])) and t.of(np.array([], np.int64)) == -1 == t.of(np.array([300]))
 
 
+def test_topics_come_from_all_documents(spark):
+    words = [["acqua bosco fiume monte", "pane vino olio grano"], ["Wasser Wald Fluss Berg", "Brot Wein Korn Salz"]]
+    half = {r.doc_id: r.half for r in spark.range(4000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")).collect()}
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(words[half[i]][i % 2].split()) for _ in range(20)), "a", "it") for i in half]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.topic for r in mixing.mix(df, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))[0].collect()}
+    seen = {}
+    for i, t in got.items():
+        seen.setdefault(t, set()).add((half[i], i % 2))
+    assert len(got) == 4000 and -1 not in seen and all(len(x) == 1 for x in seen.values())
+
+
+def test_topics_are_the_same_however_rows_are_spread(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = [f"{a}{b}" for a in ("ponte", "strada", "tributo", "scuola", "mensa") for b in ("", "le", "mento", "ria")]
+    rows = [(i, " ".join(rnd.choice(words[k : k + 5]) for _ in range(rnd.randint(0, 40)))) for i in range(500) for k in [rnd.choice((0, 5, 10, 12))]]
+    df = spark.createDataFrame(rows + [(500, None), (501, " \n")], "doc_id long, text string").withColumns({"source": F.lit("a"), "lang": F.lit("it")})
+    held = mixing.learn_topics(mixing.counted_rows(df))
+    monkeypatch.setattr(topics, "HELD", 0)
+    for parts, got in ((1, topics.GOT), (7, 0)):
+        monkeypatch.setattr(topics, "GOT", got)
+        spread = mixing.learn_topics(mixing.counted_rows(df.repartition(parts, "text")))
+        assert (spread.idf == held.idf).all() and (spread.centres == held.centres).all() and held.centres.shape[1] == mixing.TOPICS
+    # every document with words counts
+    enc = mixing._encoder(mixing.TOKENIZERS, mixing.VOCABULARY)
+    sets = [{i % mixing.WIDTH for i in enc.encode_ordinary(t)} for _, t in rows if t]
+    assert held.idf == pytest.approx([np.log(len(sets) / max(sum(k in x for x in sets), 1)) for k in range(mixing.WIDTH)])
+    assert mixing.learn_topics(mixing.counted_rows(df.limit(0))).centres.shape[1] == 0
+
+
 # ---- scans ---------------------------------------------------------------------------------------------------------
 
 BODY = "Il funzionario registra la domanda con il progressivo 4241 presso lo sportello. La commissione verifica il documento nell'ambito economico-finanziario e archivia la relazione del mercato."
