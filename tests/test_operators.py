@@ -211,3 +211,34 @@ def test_agents_to_gold(spark):
     al = spark.createDataFrame([(1, "suap"), (1, "sportello unico attivita produttive"), (2, "richiedente")], "group_id int, alias string")
     p = spark.createDataFrame([("k", "S.U.A.P."), ("k", "sportello unico attivita produttiva"), ("k", "altro")], "key string, agent string")
     assert {r.agent: r.canonical for r in evaluation.canonicalize_agents(p, al).collect()} == {"suap": "suap", "sportello unico attivita produttiva": "suap", "altro": "altro"}
+
+
+def _texts(spark, n, seed):
+    r = random.Random(seed)
+    words = ["Ufficio", "domanda", "è", "rilascio", "verifica", "", "SUAP", "modulo", "entro", "giorni", "😀"]
+    rows = [(i, None if i % 17 == 3 else " ".join(r.choices(words, k=r.randint(0, 3))), f"d{i % 5}") for i in range(n)]
+    return spark.createDataFrame(rows, "id int, text string, doc_id string")
+
+
+@pytest.mark.parametrize("on", [None, ["doc_id"]])
+@pytest.mark.parametrize("k", [0, 4, 300])
+def test_knn_of_texts_is_knn_of_their_vectors(spark, on, k):
+    """Many ties, blank texts, ids that sort otherwise as texts, a query id that stands twice."""
+    items = _texts(spark, 250, 1).withColumn("id", F.col("id").cast("string"))
+    q = _texts(spark, 60, 2).select(F.struct(F.col("id").alias("a"), "doc_id").alias("query_id"), F.col("text").alias("qvec"), "doc_id")
+    q = q.unionByName(q.limit(3))
+    vec = lambda c: F.when(F.col(c).isNotNull(), retrieval.hashing_embedder(F.col(c)))
+    keep = ["doc_id"] if on else []
+    texts = retrieval.knn(q.select("query_id", "qvec", *keep), items.select("id", F.col("text").alias("vec"), *keep), k, on=on)
+    vectors = retrieval.knn(q.select("query_id", vec("qvec").alias("qvec"), *keep), items.select("id", vec("text").alias("vec"), *keep), k, on=on)
+    got, want = sorted(map(tuple, texts.collect())), sorted(map(tuple, vectors.collect()))
+    assert got == want
+    assert bool(got) == (k > 0)
+
+
+def test_text_retrieval_compares_no_pairs_of_rows_in_the_plan(spark, data):
+    from scrivano.plans import catalogue
+
+    plan = catalogue.queries()["text_retrieval"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "MapInArrow" in plan
