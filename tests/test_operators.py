@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrivano.operators import chunks, definitions, evaluation, graph, lines, outline, retrieval, store
+from scrivano.operators import chunks, definitions, evaluation, extraction, graph, lines, nearest, outline, retrieval, store
 from scrivano.plans import pipeline
 
 DOC = "REGOLAMENTO DI PROVA\n\n1 Definizioni\nSUAP: sportello unico per le pratiche\n\n2 Modalità operative\n- Il richiedente compila il modulo\n- Il SUAP verifica entro 30 giorni"
@@ -242,3 +242,44 @@ def test_text_retrieval_compares_no_pairs_of_rows_in_the_plan(spark, data):
     plan = catalogue.queries()["text_retrieval"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "MapInArrow" in plan
+
+
+def _semantic_by_pairs(lns):
+    """Lines nearest to the five definition queries, from a table of all pairs."""
+    from scrivano.functions import lexicon as L
+    from scrivano.functions import text as T
+
+    c = lns.withColumn("text", T.strip(F.col("line"))).where("text <> ''").withColumn("vec", retrieval.hashing_embedder(F.col("text"))).collect()
+    n = Counter(r.doc_id for r in lns.select("doc_id").collect())
+    out = set()
+    for doc in n:
+        mine, first = [r for r in c if r.doc_id == doc], {}
+        f = 0.45 if n[doc] >= 8000 else 0.60 if n[doc] >= 4000 else 0.75 if n[doc] >= 2000 else 1.0
+        for no, q in enumerate(nearest.matrix(list(L.DEFINITION_QUERIES))):
+            near = sorted(mine, key=lambda r: (round(float(sum((np.array(r.vec) - q) ** 2)), 6), r.line_no))
+            for rank, r in enumerate(near[: max(18, round(f * 50))]):
+                first.setdefault(r.line_no, (no, rank, r.line_no, r.text))
+        kept = sorted(x for x in first.values() if len(x[3]) >= 8)[: max(80, round(f * 180))]
+        out |= {(doc, x[2], x[3]) for x in kept}
+    return out
+
+
+def test_semantic_candidates_in_one_pass(spark):
+    r = random.Random(5)
+    words = ["SUAP:", "sportello", "si intende", "definizione", "di", "è", "😀", " ", "termine"]
+    long = lambda n: "\n".join(" ".join(r.choices(words, k=r.randint(0, 5))) for _ in range(n))
+    lns = lines.lines(lines.documents(docs(spark, DOC, long(2100), long(300), "breve\n\n", long(40), DOC)))
+    got = extraction.semantic_candidates(lns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _semantic_by_pairs(lns)
+
+
+def test_strip_looks_at_the_ends(spark):
+    from scrivano.functions import text as T
+
+    blanks = [chr(c) for c in range(0x3001) if re.match(r"[^\S\x1c-\x1f]", chr(c))]
+    rows = spark.createDataFrame([(b + "a" + b + "b" + b + b,) for b in blanks] + [("\x1ca​",), ("",), (None,)], "t string")
+    got = rows.select("t", T.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert got.where("not s <=> want").count() == 0 and len(blanks) == 25
